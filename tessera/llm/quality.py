@@ -9,6 +9,7 @@ and rules left out (`ablations`) by aggregating the bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,17 @@ RULES = {
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
+    "twin_words": "100 * n_twin_words > 30 * n_words",
 }
 #: Versioned policies: the rules that reject.
 POLICIES = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbols"),
-    "v2": ("few_words", "repeated_words", "short_words", "long_words", "symbols", "repeated_lines"),
+    "v2": ("few_words", "repeated_words", "short_words", "long_words", "symbols", "repeated_lines", "twin_words"),
 }
 PRODUCTION = "v2"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_twin_words")
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 WINDOW = 5
@@ -90,6 +92,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         len(lines) - len(set(lines)),
         repeat_words(words),
         len(lines),
+        sum(map(eq, words, words[1:])),
     )
 
 
@@ -156,15 +159,17 @@ g AS (
   FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
 r AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g WHERE gram IS NOT NULL),
 v AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM r WHERE c > 1) GROUP BY doc_id),
+x AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, word = lag(word) OVER (PARTITION BY doc_id ORDER BY p) AS twin FROM u) WHERE twin GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-    coalesce(v.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines
-  FROM w LEFT JOIN v ON w.doc_id = v.doc_id),
+    coalesce(v.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, coalesce(x.n, 0)::BIGINT AS n_twin_words
+  FROM w LEFT JOIN v ON w.doc_id = v.doc_id LEFT JOIN x ON w.doc_id = x.doc_id),
 b AS (
   SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 8 ELSE 0 END
-    + CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 32 ELSE 0 END)::BIGINT AS failed
+    + CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END
+    + CASE WHEN 100 * n_twin_words > 30 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed
   FROM m)
 SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM b
 """
