@@ -40,7 +40,7 @@ def ranked(df: DataFrame, keys: list[str], order: list, out: str, per_task: int
     (salt, order), so they are a seeded shuffle of the group, the same on each run.
     """
     n = df.count()
-    salts = max(1, -(-n // per_task)) * 8
+    salts = 64 * max(1, -(-n // (8 * per_task)))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.lit(17), *order), F.lit(salts)).cast("int"))
     slot = [*keys, "_salt"]
     counts = salted.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n"))
