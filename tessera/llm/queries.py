@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, simhash, tokens
+from . import langid, mixing, packing, quality, simhash, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +30,29 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_topk_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_packing_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_nb": op1_language_nb,
     "op2_quality_ledger": op2_quality_ledger,
     "op3_simhash_trie": op3_simhash_trie,
     "op5_token_counts": op5_token_counts,
+    "op7_topk_pivots": op7_topk_pivots,
+    "op9_packing_completion": op9_packing_completion,
+    "op10_mixing_budget": op10_mixing_budget,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_ledger": quality.ORACLE,
+    "op7_topk_pivots": topk.ORACLE,
 }
