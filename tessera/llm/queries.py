@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, simhash, tokens, topk
+from . import langid, licences, lines, mixing, packing, quality, simhash, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,18 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_topk_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -46,7 +54,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_nb": op1_language_nb,
     "op2_quality_ledger": op2_quality_ledger,
     "op3_simhash_trie": op3_simhash_trie,
+    "op4_licence_digests": op4_licence_digests,
     "op5_token_counts": op5_token_counts,
+    "op6_line_dedup": op6_line_dedup,
     "op7_topk_pivots": op7_topk_pivots,
     "op9_packing_completion": op9_packing_completion,
     "op10_mixing_budget": op10_mixing_budget,
@@ -54,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_ledger": quality.ORACLE,
+    "op4_licence_digests": licences.ORACLE,
     "op7_topk_pivots": topk.ORACLE,
 }
