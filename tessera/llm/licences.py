@@ -69,7 +69,7 @@ def canonical_lines(text: Column) -> Column:
     plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
     for a, b in SPELLINGS:
         plain = F.replace(plain, F.lit(a), F.lit(b))
-    lines = F.transform(F.split(plain, "\n"), F.trim)
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(x))
     return F.filter(lines, lambda x: (x != "") & ~x.startswith("copyright ") & ~x.startswith("c ") & (x != "all rights reserved"))
 
 
@@ -98,15 +98,22 @@ def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
     if size <= BROADCAST_BYTES:
         known = F.broadcast(known)
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), canonical_lines(F.col("text")).alias("lines"))
-    whole = F.array(F.struct(F.lit(True).alias("entire"), digest_of(F.col("lines")).alias("digest")))
-    each = F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit(False).alias("entire"), F.md5(x).alias("digest")))
-    units = rows.where(F.size("lines") > 0).select("key", F.inline(F.concat(whole, each)))
-    hits = units.join(known, units.digest == known.known).groupBy("key").agg(
-        F.min(F.when(F.col("entire"), F.col("name"))).alias("license_id"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("entire"), F.col("name")))), ",").alias("notices"),
+    whole = F.array(F.struct(F.lit(True).alias("entire"), digest_of(F.col("lines")).alias("unit")))
+    each = F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit(False).alias("entire"), F.md5(x).alias("unit")))
+    # the entire text is a unit of each row, so counting it counts the rows; without lines it matches nothing
+    units = F.when(F.size("lines") > 0, F.concat(whole, each)).otherwise(F.array(F.struct(F.lit(True).alias("entire"), F.lit("").alias("unit"))))
+    found = rows.select("doc_id", "key", digest_of(F.col("lines")).alias("digest"), F.inline(units)).join(known, F.col("unit") == known.known, "left")
+    each_row = F.explode(F.sequence(F.lit(1).cast("long"), "rows"))
+    return (
+        found.groupBy("doc_id", "key", "digest")
+        .agg(
+            F.count(F.when(F.col("entire"), 1)).alias("rows"),
+            F.min(F.when(F.col("entire"), F.col("name"))).alias("license_id"),
+            F.array_join(F.array_sort(F.collect_set(F.when(~F.col("entire"), F.col("name")))), ",").alias("notices"),
+        )
+        .select("doc_id", "digest", "license_id", "notices", each_row.alias("_row"))
+        .drop("_row")
     )
-    digests = rows.select("doc_id", "key", digest_of(F.col("lines")).alias("digest"))
-    return digests.join(hits, "key", "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _sql_lines(text: str) -> str:

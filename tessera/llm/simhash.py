@@ -154,41 +154,45 @@ class Forest:
                 label[:] = up
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (cell, part, key, fp) sorted by the first three: links that span each group's components."""
-
-    def solve(parts: list[np.ndarray]) -> pa.RecordBatch | None:
-        rows = np.concatenate(parts)
-        if len(rows) < 2:
-            return None
-        keys, new = rows[:, 2].copy().view(np.uint64), (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-        groups = np.concatenate([[0], np.flatnonzero(new) + 1, [len(rows)]])
-        order = np.lexsort((keys, np.cumsum(np.concatenate([[0], new]))))
-        rows, keys = rows[order], keys[order]
-        forest = Forest(len(rows))
-        for i, j in trie_links(keys, groups):
-            forest.join(i, j)
-        moved = np.flatnonzero(forest.label != np.arange(len(rows)))
-        return pa.RecordBatch.from_arrays([pa.array(rows[moved, 3]), pa.array(rows[forest.label[moved], 3])], names=["a", "b"])
+def grouped(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (cell, part, key, ...) of longs, sorted by the first two, as whole groups of `least` rows or more.
+
+    Gives the rows, sorted by key inside groups, the keys unsigned, and the groups'
+    first positions with the number of rows at the end.
+    """
+
+    def whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        new = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+        order = np.lexsort((rows[:, 2].copy().view(np.uint64), np.cumsum(np.concatenate([[0], new]))))
+        rows = rows[order]
+        return rows, rows[:, 2].copy().view(np.uint64), np.concatenate([[0], np.flatnonzero(new) + 1, [len(rows)]])
 
     held: list[np.ndarray] = []
     n = 0
     for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1) if batch.num_rows else np.empty((0, 4), np.int64)
-        held.append(rows)
-        n += len(rows)
-        if n >= 50_000:
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([batch.column(k).to_numpy() for k in range(batch.num_columns)], axis=1))
+        n += batch.num_rows
+        if n >= least:
             rows = np.concatenate(held)
             last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
             cut = last[-1] + 1 if len(last) else 0  # the last group may go on
             if cut:
-                if (out := solve([rows[:cut]])) is not None:
-                    yield out
-                held, n = [rows[cut:]], len(rows) - cut
-            else:
-                held = [rows]
-    if held and (out := solve(held)) is not None:
-        yield out
+                yield whole(rows[:cut])
+            held, n = [rows[cut:]], len(rows) - cut
+    if n:
+        yield whole(np.concatenate(held))
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cell, part, key, fp): links that span each group's components."""
+    for rows, keys, groups in grouped(batches):
+        forest = Forest(len(rows))
+        for i, j in trie_links(keys, groups):
+            forest.join(i, j)
+        moved = np.flatnonzero(forest.label != np.arange(len(rows)))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[moved, 3]), pa.array(rows[forest.label[moved], 3])], names=["a", "b"])
 
 
 def split_cells(rows: DataFrame, cell: str, spread: str, chunk: int, even: float) -> DataFrame:
@@ -210,30 +214,22 @@ def split_cells(rows: DataFrame, cell: str, spread: str, chunk: int, even: float
     return dealt.select(*[rows[c] for c in rows.columns], part.alias("part"))
 
 
+def dealt(prints: DataFrame, more: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(cell, part, key, fp or `more`): `prints` dealt by each block of fp, sorted by cell and part.
+
+    key is the fingerprint turned so that the block comes first.
+    """
+    prepare(prints.sparkSession)
+    n, more = prints.count(), more or ["fp"]
+    turned = [F.shiftleft("fp", 16 * k).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * k)) if k else F.col("fp") for k in range(BLOCKS)]
+    blocks = [F.struct((F.shiftrightunsigned(key, 48) * BLOCKS + k).alias("cell"), key.alias("key")) for k, key in enumerate(turned)]
+    rows = prints.select(F.inline(F.array(*blocks)), *more)
+    return split_cells(rows, "cell", more[0], chunk, n / 65536).select("cell", "part", "key", *more).repartition("cell", "part").sortWithinPartitions("cell", "part")
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b) fingerprints: links that span the components of `prints` (distinct, column fp)."""
-    prepare(prints.sparkSession)
-    n = prints.count()
-    turned = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    (F.shiftrightunsigned(key, 48) * BLOCKS + k).alias("cell"),
-                    key.alias("key"),
-                )
-                for k in range(BLOCKS)
-                for key in [F.shiftleft("fp", 16 * k).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * k)) if k else F.col("fp")]
-            ]
-        )
-    )
-    rows = prints.select("fp", turned.alias("t")).select(F.col("t.cell").alias("cell"), F.col("t.key").alias("key"), "fp")
-    dealt = split_cells(rows, "cell", "key", CHUNK, n / 65536)
-    return (
-        dealt.select("cell", "part", "key", "fp")
-        .repartition("cell", "part")
-        .sortWithinPartitions("cell", "part")
-        .mapInArrow(_forests, "a long, b long")
-    )
+    return dealt(prints).mapInArrow(_forests, "a long, b long")
 
 
 def components(rows: DataFrame, ids: list[str]) -> DataFrame:
