@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licences, lines, mixing, packing, quality, simhash, tokens, topk
+from . import cotraining, langid, licences, lines, mixing, packing, quality, simhash, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op7_topk_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.classify(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_packing_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_topk_pivots": op7_topk_pivots,
+    "op8_quality_cotraining": op8_quality_cotraining,
     "op9_packing_completion": op9_packing_completion,
     "op10_mixing_budget": op10_mixing_budget,
 }
