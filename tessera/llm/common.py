@@ -17,20 +17,38 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share, as the session names it in spark.checkpoint.dir.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where that
-    is unset (tests on one machine) a temporary folder is used.
+    Only where that is unset (tests on one machine) a temporary folder is used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+KEY = "_row_key"
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """`docs` with KEY, a digest of all columns; equal rows have one key."""
+    return docs.withColumn(KEY, F.xxhash64(*docs.columns))
+
+
+def copies_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of `docs` by the copies `wanted` (KEY, n) of each key, over all rows that share it."""
+    found = with_key(docs).join(wanted, KEY).dropDuplicates([KEY])
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*docs.columns)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list, out: str, per_task: int = 50_000) -> DataFrame:
     """`df` with its 0-based rank `out` (long) inside each group of `keys`.
 

@@ -149,6 +149,26 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return df.mapInArrow(batches, f"{fields}lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """`docs` (doc_id, text, lang and others) without those whose language isn't found.
+
+    Rejected are texts without a letter and those whose best language has a probability
+    under `least`.  The model learns from `docs` itself, without the held-out rows.
+    """
+    model = fit(docs.where(~held_out()).select("lang", "text", F.col("doc_id").alias("key")), sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.matrix))
+    at = docs.columns.index("text")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in it:
+            langs, scores = own.score(batch.column(at).to_pylist())
+            stays = (np.array(langs, object) != UNKNOWN) & (scores >= least)
+            yield batch.filter(pa.array(stays.astype(bool)))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Column: is the row kept from training?  A null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1

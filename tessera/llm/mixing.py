@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, prepare, ranked, saved
+from .common import KEY, WORD, copies_of, prepare, ranked, saved, with_key
 
 SEED = 7
 CYCLE = 3
@@ -138,3 +138,9 @@ def mix(rows: DataFrame, keys: list[str]) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) for each row of `docs` (doc_id, text, source)."""
     return mix(sized(docs, ["doc_id"]), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def apply_mix(docs: DataFrame) -> DataFrame:
+    """`docs` as the mix takes them: a row for each copy, none for documents it leaves out."""
+    taken = mix(sized(with_key(docs), ["doc_id", KEY]), ["doc_id", KEY])
+    return copies_of(docs, taken.groupBy(KEY).agg(F.sum("copies").cast("long").alias("n")).where("n > 0"))

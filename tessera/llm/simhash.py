@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, prepare, saved
+from .common import KEY, connected_components, copies_of, prepare, saved, with_key
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BUDGET = 3
@@ -262,3 +262,10 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("least.doc_id").alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each component: that of the smallest id, null last; of equal rows one."""
+    prints = saved(with_fingerprints(with_key(docs).select(KEY, "doc_id", "text")))
+    of = components(prints.withColumn("_no", F.col("doc_id").isNull()), ["_no", "doc_id", KEY])
+    return copies_of(docs, of.select(F.col(f"least.{KEY}").alias(KEY)).distinct().withColumn("n", F.lit(1).cast("long")))
