@@ -14,16 +14,19 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, ranked, saved
+from .tokens import byte_letters
 
 CAPACITY = 4096
 END = 1
@@ -31,17 +34,24 @@ END = 1
 WIDTH = 8
 NODES = 20_000
 #: Entries of a worker's table of pieces between blanks.
-KEPT = 400_000
+KEPT = 600_000
 #: Control characters that Python takes for white space and Unicode does not.
 ODD = re.compile("[\x1c-\x1f]")
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SOLID = re.compile(f"[^{SPACE}]+")
 
 
-class Encoder:
-    """Ids of whole texts as bytes, by the library, through a table of pieces between blanks.
+#: Fixed value: the split pattern of this kind of vocabulary, after lower-casing.
+PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+class Encoder(dict):
+    """Ids of whole texts as bytes, by the library; as a table, ids of pieces between blanks.
 
     The vocabulary drops white space and no token crosses it, so pieces are independent.
+    A new piece of Latin-1 letters is lower-cased and cut here and its pre-tokens go to
+    the library's model; for these characters normal form and lower case are plain.
+    All other new pieces go through the whole of the library.
     """
 
     def __init__(self, path: str):
@@ -49,24 +59,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.table: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.parts: dict[str, bytes] = {}
+        self.letters = {b: c for b, c in enumerate(byte_letters()) if chr(b) != c}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(piece) > 100 or max(piece) > "\xff" or "<|" in piece:
+            ids = array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+        else:
+            ids = b"".join([self.parts.get(p) or self._part(p) for p in PRETOKENS.findall(piece.lower())])
+        if len(piece) <= 100:
+            self[piece] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [(SOLID.findall(t) if ODD.search(t) else t.split()) if t else [] for t in texts]
-        if len(self.table) > KEPT:
-            self.table.clear()
-        table = self.table
-        new = list({p for c in cut for p in c if p not in table})
-        for at in range(0, len(new), 4000):
-            some = new[at : at + 4000]
-            for piece, found in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
-                table[piece] = np.array(found.ids, "<u4").tobytes()
-        out = [b"".join([table[p] for p in c]) for c in cut]
-        for p in new:
-            if len(p) > 100:
-                del table[p]
-        return out
+        """Unsigned 32-bit ids of each text, little-endian as the machine's."""
+        for known in (self, self.parts):
+            if len(known) > KEPT:
+                known.clear()
+        look = self.__getitem__
+        return [b"".join(map(look, SOLID.findall(t) if ODD.search(t) else t.split())) if t else b"" for t in texts]
 
 
 @cache

@@ -35,7 +35,7 @@ KEPT = 400_000
 NONE = np.int64(1) << 40
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in vocabularies of this kind."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -50,7 +50,7 @@ class Merges:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
-        self.of_byte = np.array([vocab[c] for c in _byte_letters()], np.int64)
+        self.of_byte = np.array([vocab[c] for c in byte_letters()], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
