@@ -1 +1 @@
-"""See the package README."""
+"""Column expressions: numbers, fuzzy weights, decay, beliefs, vectors, memories, codecs."""

@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame operators on temporal property graphs."""

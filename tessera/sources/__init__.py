@@ -1 +1 @@
-"""See the package README."""
+"""Event logs and checkpoints as files that Spark reads and writes."""

@@ -1 +1 @@
-"""See the package README."""
+"""Structured Streaming editions of the operators that keep state."""
