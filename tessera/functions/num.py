@@ -18,15 +18,22 @@ def col(x) -> Column:
 
 
 def r6(x) -> Column:
-    """Rounded to six decimals; NaN stays NaN."""
+    """Rounded to six decimals.  The argument stands once in the result, so nested steps stay small.
+
+    For finite numbers; `or_nan` keeps NaN where a column may hold it.
+    """
+    return F.floor(col(x) * UNIT + 0.5) / UNIT
+
+
+def or_nan(x, step) -> Column:
+    """step(x), or NaN where x is NaN: Spark's comparisons take NaN for the largest number."""
     x = col(x)
-    return F.when(F.isnan(x), x).otherwise(F.floor(x * UNIT + 0.5) / UNIT)
+    return F.when(F.isnan(x), x).otherwise(step(x))
 
 
 def clamp(x, low: float = 0.0, high: float = 1.0) -> Column:
-    """Held to [low, high], then rounded; NaN stays NaN."""
-    x = col(x)
-    return F.when(F.isnan(x), x).otherwise(r6(F.least(F.lit(high), F.greatest(F.lit(low), x))))
+    """Held to [low, high], then rounded."""
+    return r6(F.least(F.lit(high), F.greatest(F.lit(low), col(x))))
 
 
 def add(a, b) -> Column:
