@@ -29,7 +29,7 @@ from .quality import measure
 LABELLED = 4000
 POOL = 2000
 ROUNDS = 4
-#: Share of the pool that a view labels for the other in a round, at most, and how sure it must be.
+#: Share of the pool that a view labels for the other in a round, at most, and how often it must be right.
 SHARE = 0.05
 SURE = 0.95
 TEXT_BITS = 12
@@ -135,6 +135,17 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def sure_from(logits: np.ndarray, y: np.ndarray, share: float = SURE) -> float:
+    """Least strength of a logit from which verdicts are right for the given share of rows, one right and one wrong added.
+
+    With few rows, or a view that is no judge, there is none: infinity.
+    """
+    order = np.argsort(-np.abs(logits), kind="stable")
+    right = np.cumsum((logits[order] > 0) == (y[order] == 1))
+    good = np.flatnonzero((right + 1) / (np.arange(len(order)) + 3) >= share)
+    return float(np.abs(logits[order[good[-1]]])) if len(good) else float("inf")
+
+
 def co_train(views: tuple[Rows, Rows], y: np.ndarray, pools: tuple[Rows, Rows], rounds: int = ROUNDS) -> Model:
     """Model of labelled rows (both views, y in {0, 1}) and a pool without labels.
 
@@ -154,8 +165,8 @@ def co_train(views: tuple[Rows, Rows], y: np.ndarray, pools: tuple[Rows, Rows],
             break
         for k in (0, 1):
             p = pools[k].times(weights[k])
-            sure = sigmoid(np.abs(p))
-            order = [int(i) for i in np.lexsort((np.arange(len(p)), -sure)) if sure[i] >= SURE and int(i) not in added[1 - k]]
+            least = sure_from(views[k].take(check).times(weights[k]), y[check])
+            order = [int(i) for i in np.lexsort((np.arange(len(p)), -np.abs(p))) if abs(p[i]) >= least and int(i) not in added[1 - k]]
             for i in order[: int(SHARE * len(p))]:
                 added[1 - k][i] = int(p[i] > 0)
     raw = np.stack([views[k].take(check).times(weights[k]) for k in (0, 1)], axis=1)

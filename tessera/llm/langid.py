@@ -35,8 +35,8 @@ def _letters() -> np.ndarray:
 
 
 def _codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased text between blanks; all but letters are blanks, runs of blanks stay."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Code points of the lower-cased text with two blanks before and one behind; all but letters are blanks, runs of blanks stay."""
+    codes = np.frombuffer(f"  {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(_letters()[codes], codes, np.uint32(32))
 
 
@@ -94,14 +94,14 @@ class Model:
         return out, probability
 
     def _sums(self, parts: list[np.ndarray]) -> np.ndarray:
-        # each text has blanks at both ends, so no n-gram holds letters of two texts
+        # a text's last blank and the two before the next make a whole n-gram, so none holds letters of two texts
         codes = np.concatenate([*parts, np.full(2, 32, np.uint32)])
         first = np.cumsum([0, *map(len, parts)])[:-1]
         sums = np.tile(self.prior, (len(parts), 1))
         for buckets in _buckets(codes):
+            buckets = buckets[: len(codes) - 2]  # without what starts in the end's own blanks
             for k, row in enumerate(self.matrix):
                 sums[:, k] += np.add.reduceat(row[buckets], first, dtype=np.int64)
-        # what starts in the last blank reaches into the next text's blank: of one kind for all texts
         return sums
 
 

@@ -4,7 +4,7 @@ Sources get weights and share all words; a source takes whole copies of its docu
 as far as its target goes, and a chosen part of them once more for the rest of the
 budget.  That part is chosen by length: documents are counted by exact size, the count
 of each size is scaled to the budget, and what remains is met by dynamic programming
-over the sizes left (bounded knapsack).  Which documents of a size are taken is seeded.
+over the sizes left (bounded knapsack, in parts of doubling counts).  Which documents of a size are taken is seeded.
 Only counts by source and size are gathered, a source's in one task.
 """
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, WORD, copies_of, prepare, ranked, saved, with_key
+from .common import COPIES, KEY, WORD, copies_of, prepare, ranked, saved, with_key
 
 SEED = 7
 CYCLE = 3
@@ -25,51 +25,88 @@ SPAN = 1 << 16
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, span: int = SPAN) -> np.ndarray:
+    """How many documents of each size to take, of `counts`, for a sum as near to `budget` as is found.
+
+    Sums above come from fitting what is left out.  Where both are as near, the lower.
+    """
+    below = fit_below(sizes, counts, budget, span)
+    whole, gap = int((sizes * counts).sum()), budget - int((sizes * below).sum())
+    if not gap:
+        return below
+    above = counts - fit_below(sizes, counts, whole - budget, span)
+    return above if int((sizes * above).sum()) - budget < gap else below
+
+
+def fit_below(sizes: np.ndarray, counts: np.ndarray, budget: int, span: int = SPAN) -> np.ndarray:
     """How many documents of each size to take, of `counts`, for a sum at or just below `budget`.
 
-    Sizes are distinct and positive, budget at most the sum of all.  Even shares of
-    each size first, then the largest sizes until at most `span` words (or less than
-    any size) are missing, then the best subset sum of what is left.
+    Sizes are distinct and positive, budget at most the sum of all.  Three starts are
+    tried until one is met exactly, and the nearest is taken: even shares of each size
+    rounded down; shares rounded to the nearest with what is over carried to the next
+    smaller size, for sources where few large documents hold most words; and none.
     """
+    sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
     whole = sum(int(s) * int(n) for s, n in zip(sizes, counts))
-    taken = np.array([int(n) * budget // whole for n in counts] if whole else [0] * len(counts), np.int64)
-    missing = budget - sum(int(s) * int(t) for s, t in zip(sizes, taken))
+    if not whole:
+        return np.zeros(len(counts), np.int64)
     down = np.argsort(-sizes)
+    even = np.array([int(n) * budget // whole for n in counts], np.int64)
+    carried, due, spent = np.zeros(len(counts), np.int64), 0, 0
     for k in down:
-        if missing <= span:
+        due += int(sizes[k]) * int(counts[k]) * budget
+        want = (due - spent * whole) / (int(sizes[k]) * whole)
+        carried[k] = min(int(counts[k]), max(0, round(want)))
+        spent += int(carried[k]) * int(sizes[k])
+    best, gap = None, None
+    for start in (even, carried, np.zeros(len(counts), np.int64)):
+        missing = budget - sum(int(s) * int(t) for s, t in zip(sizes, start))
+        if missing < 0:
+            continue
+        taken, missing = _finish(sizes, counts, start, missing, down, span)
+        if gap is None or missing < gap:
+            best, gap = taken, missing
+        if not gap:
             break
-        more = min(int(counts[k] - taken[k]), (missing - span) // int(sizes[k]))
-        taken[k] += more
-        missing -= more * int(sizes[k])
-    if missing <= 0:
-        return taken
-    if missing > span:  # only sizes above the span are left: each is tried from the largest
+    return best
+
+
+def _finish(sizes: np.ndarray, counts: np.ndarray, start: np.ndarray, missing: int, down: np.ndarray, span: int) -> tuple[np.ndarray, int]:
+    """`start` with more taken to meet what is missing, and what then is missing.
+
+    The largest sizes go until at most `span` words (or less than any size) are
+    missing, then comes the best subset sum of what is left.
+    """
+    taken = start.copy()
+    for reserve in (span, 0):
         for k in down:
-            more = min(int(counts[k] - taken[k]), missing // int(sizes[k]))
+            if missing <= span:
+                break
+            more = min(int(counts[k] - taken[k]), max(0, missing - reserve) // int(sizes[k]))
             taken[k] += more
             missing -= more * int(sizes[k])
-    if 0 < missing <= span:
-        reach, by, items = np.zeros(missing + 1, bool), np.full(missing + 1, -1, np.int64), []
-        reach[0] = True
-        for k in down:
-            left, size, part = int(counts[k] - taken[k]), int(sizes[k]), 1
-            while left and part * size <= missing and not reach[missing]:
-                part = min(part, left)
-                step = part * size
-                if step <= missing:
-                    new = np.flatnonzero(reach[:-step] & ~reach[step:]) + step
-                    reach[new], by[new] = True, len(items)
-                    items.append((k, part, step))
-                left -= part
-                part *= 2
-            if reach[missing]:
-                break
-        at = int(np.flatnonzero(reach)[-1])
-        while at:
-            k, part, step = items[by[at]]
-            taken[k] += part
-            at -= step
-    return taken
+    if not 0 < missing <= span:
+        return taken, missing
+    reach, by, items = np.zeros(missing + 1, bool), np.full(missing + 1, -1, np.int64), []
+    reach[0] = True
+    for k in down:
+        left, size, part = int(counts[k] - taken[k]), int(sizes[k]), 1
+        while left and part * size <= missing and not reach[missing]:
+            part = min(part, left)
+            step = part * size
+            new = np.flatnonzero(reach[:-step] & ~reach[step:]) + step
+            reach[new], by[new] = True, len(items)
+            items.append((k, part, step))
+            left -= part
+            part *= 2
+        if reach[missing]:
+            break
+    at = int(np.flatnonzero(reach)[-1])
+    missing -= at
+    while at:
+        k, part, step = items[by[at]]
+        taken[k] += part
+        at -= step
+    return taken, missing
 
 
 def _plan(histogram: pd.DataFrame) -> pd.DataFrame:
@@ -143,4 +180,4 @@ def mixed(docs: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame) -> DataFrame:
     """`docs` as the mix takes them: a row for each copy, none for documents it leaves out."""
     taken = mix(sized(with_key(docs), ["doc_id", KEY]), ["doc_id", KEY])
-    return copies_of(docs, taken.groupBy(KEY).agg(F.sum("copies").cast("long").alias("n")).where("n > 0"))
+    return copies_of(docs, taken.groupBy(KEY).agg(F.sum("copies").cast("long").alias(COPIES)).where(F.col(COPIES) > 0))
