@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .num import clamp, col, r6
+from .num import clamp, col, let, r6
 
 TOLERANCE = 1e-4
 #: Authorities from the weakest.
@@ -48,12 +48,18 @@ def conflict(a: Column, b: Column) -> Column:
 
 def combine(a: Column, b: Column, at=0) -> Column:
     """Dempster's rule, rounded at each step; null in total conflict.  The proposition is the first one's."""
-    k = conflict(a, b)
-    rest = F.when(k < 1, 1 - k)
-    t = r6((a["m_true"] * b["m_true"] + a["m_true"] * b["m_unknown"] + a["m_unknown"] * b["m_true"]) / rest)
-    f = r6((a["m_false"] * b["m_false"] + a["m_false"] * b["m_unknown"] + a["m_unknown"] * b["m_false"]) / rest)
-    u = r6(F.greatest(F.lit(0.0), 1 - t - f))
-    return F.when(k < 1, _struct(a["proposition"], t, f, u, at))
+
+    def masses(p: Column) -> Column:
+        x, y, rest = p["a"], p["b"], 1 - p["k"]
+        t = r6((x["m_true"] * y["m_true"] + x["m_true"] * y["m_unknown"] + x["m_unknown"] * y["m_true"]) / rest)
+        f = r6((x["m_false"] * y["m_false"] + x["m_false"] * y["m_unknown"] + x["m_unknown"] * y["m_false"]) / rest)
+        return F.when(rest > 0, F.struct(x["proposition"].alias("p"), t.alias("t"), f.alias("f")))
+
+    def whole(m: Column) -> Column:
+        return F.when(m.isNotNull(), _struct(m["p"], m["t"], m["f"], r6(F.greatest(F.lit(0.0), 1 - m["t"] - m["f"])), at))
+
+    both = let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), conflict(p["a"], p["b"]).alias("k")))
+    return let(let(both, masses), whole)
 
 
 def fold(beliefs: Column, at=0) -> Column:

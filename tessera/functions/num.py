@@ -32,8 +32,9 @@ def or_nan(x, step) -> Column:
 
 
 def clamp(x, low: float = 0.0, high: float = 1.0) -> Column:
-    """Held to [low, high], then rounded."""
-    return r6(F.least(F.lit(high), F.greatest(F.lit(low), col(x))))
+    """Held to [low, high], then rounded; null stays null, which Spark's extremes would skip."""
+    x = col(x)
+    return F.when(x.isNotNull(), r6(F.least(F.lit(high), F.greatest(F.lit(low), x))))
 
 
 def add(a, b) -> Column:
@@ -55,6 +56,11 @@ def divide(a, b, strict: bool = True) -> Column:
     return F.when(b == 0, zero).otherwise(r6(a / F.when(b != 0, b)))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def py_r6(x: float) -> float:
     """The driver's twin of `r6`."""
     import math
