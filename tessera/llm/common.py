@@ -35,7 +35,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-KEY = "_row_key"
+#: Rows of some numbers each that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small(held: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table, marked for broadcast if it is counted to be small; else it is joined by shuffle."""
+    return F.broadcast(held) if held.count() <= rows else held
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt over the cores where it comes in fewer parts than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+KEY, COPIES = "_row_key", "_row_copies"
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -44,9 +59,9 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def copies_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `docs` by the copies `wanted` (KEY, n) of each key, over all rows that share it."""
+    """Rows of `docs` by the copies `wanted` (KEY, COPIES) of each key, over all rows that share it."""
     found = with_key(docs).join(wanted, KEY).dropDuplicates([KEY])
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*docs.columns)
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(COPIES)))).select(*docs.columns)
 
 
 def ranked(df: DataFrame, keys: list[str], order: list, out: str, per_task: int = 50_000) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, connected_components, copies_of, prepare, saved, with_key
+from .common import COPIES, KEY, connected_components, copies_of, prepare, saved, small, with_key
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BUDGET = 3
@@ -86,15 +86,27 @@ def _pairs(lo_a, hi_a, lo_b, hi_b) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = upto
 
 
-def trie_links(keys: np.ndarray, groups: np.ndarray, budget: int = BUDGET, leaf: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(keys: np.ndarray, groups: np.ndarray, budget: int = BUDGET, leaf: int = 64, small: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Position pairs (i < j) of one group whose keys differ in at most `budget` bits.
 
     keys: uint64, ascending and distinct inside each group; groups: the groups' first
     positions, then len(keys).  Each group is the root of a trie; a node is the range
     of positions below it.  Pairs of nodes go down together, bit by bit.  A pair with
-    few keys on both sides (`leaf` pairs) is a leaf and compared at once.
+    few keys on both sides (`leaf` pairs) is a leaf and compared at once; so, for
+    callers that join by blocks alone, is a root with up to `small` keys, and these are
+    compared all together, by their distance in the order of keys.
     """
     lo, hi = groups[:-1], groups[1:]
+    few = (hi - lo <= small) & (hi - lo > 1)
+    if few.any():
+        size = np.where(few, hi - lo, 0)
+        own = np.repeat(lo, hi - lo)
+        for step in range(1, int(size.max())):
+            i = np.flatnonzero(np.bitwise_count(keys[step:] ^ keys[:-step]) <= budget)
+            i = i[(own[i] == own[i + step]) & (size[np.searchsorted(lo, own[i])] > 0)] if len(i) else i
+            if len(i):
+                yield i, i + step
+    lo, hi = lo[hi - lo > small], hi[hi - lo > small]
     ones = {}
 
     def below(d: int) -> np.ndarray:
@@ -204,7 +216,7 @@ def split_cells(rows: DataFrame, cell: str, spread: str, chunk: int, even: float
     """
     most = max(chunk, int(4 * even))
     hot = rows.groupBy(cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
-    hot = hot.select(F.col(cell).alias("_cell"), F.ceil(F.col("_n") / most).cast("int").alias("_s"))
+    hot = small(saved(hot.select(F.col(cell).alias("_cell"), F.ceil(F.col("_n") / most).cast("int").alias("_s"))))
     dealt = rows.join(hot, rows[cell] == hot["_cell"], "left").withColumn(
         "_c", F.pmod(F.xxhash64(F.lit(3), spread), F.col("_s")).cast("int")
     )
@@ -268,4 +280,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each component: that of the smallest id, null last; of equal rows one."""
     prints = saved(with_fingerprints(with_key(docs).select(KEY, "doc_id", "text")))
     of = components(prints.withColumn("_no", F.col("doc_id").isNull()), ["_no", "doc_id", KEY])
-    return copies_of(docs, of.select(F.col(f"least.{KEY}").alias(KEY)).distinct().withColumn("n", F.lit(1).cast("long")))
+    return copies_of(docs, of.select(F.col(f"least.{KEY}").alias(KEY)).distinct().withColumn(COPIES, F.lit(1).cast("long")))
