@@ -1,12 +1,14 @@
-"""Helpers the operators share: lineage cuts, salted ranks, connected components."""
+"""Helpers the operators share: bounded batches, salted ranks, rows by key and copies."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import connected_components, numbered, saved, shared_folder
+
+__all__ = ["connected_components", "numbered", "saved", "shared_folder"]
+
 #: ASCII blanks between words, as `bytes.split()` and `[\x20\x09-\x0D]` see them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,24 +19,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share, as the session names it in spark.checkpoint.dir.
-
-    Only where that is unset (tests on one machine) a temporary folder is used.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
-    return context.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Rows of some numbers each that may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -86,41 +70,3 @@ def ranked(df: DataFrame, keys: list[str], order: list, out: str, per_task: int
         cond = cond & c
     kept = [local[c] for c in df.columns]
     return local.join(base, cond, "left").select(*kept, (F.col("_base") + F.col("_rank")).cast("long").alias(out))
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of `edges` (a long, b long); root is the least node.
-
-    Alternating large-star and small-star steps.  Minima are partial aggregates and
-    the joins on a busy node can be split, so a component may have any size.  Each
-    step is written to the checkpoint folder; the driver sees two sums only.
-    """
-
-    def star(e: DataFrame) -> DataFrame:
-        """Of (u, v) with u > v: every node's neighbours above it move to its least neighbour."""
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-    def small(e: DataFrame) -> DataFrame:
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-    def stamp(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    now = saved(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    mark = stamp(now)
-    while mark[0]:
-        large = saved(star(now))
-        now = saved(small(large))
-        mark, old = stamp(now), mark
-        if mark == old:
-            break
-    down = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return down.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

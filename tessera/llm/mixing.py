@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COPIES, KEY, WORD, copies_of, prepare, ranked, saved, with_key
+from .common import COPIES, KEY, WORD, copies_of, numbered, prepare, ranked, saved, with_key
 
 SEED = 7
 CYCLE = 3
@@ -127,8 +127,8 @@ def targets(totals: DataFrame) -> DataFrame:
     Weights go 1, 2, 3 and again, by code point, null last.  What a source cannot take
     is shared by weight among the others until none is above.  The driver sees sums.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    totals = saved(totals.withColumn("weight", (F.row_number().over(order) - 1) % CYCLE + 1))
+    placed = numbered(totals, [F.col("source").asc_nulls_last()], "_nth")
+    totals = saved(placed.select("source", "source_size", (F.col("_nth") % CYCLE + 1).alias("weight")))
     everything = totals.agg(F.sum("source_size")).first()[0] or 0
     level, before = 0.0, -1
     while True:

@@ -97,15 +97,18 @@ def trie_links(keys: np.ndarray, groups: np.ndarray, budget: int = BUDGET, leaf:
     compared all together, by their distance in the order of keys.
     """
     lo, hi = groups[:-1], groups[1:]
-    few = (hi - lo <= small) & (hi - lo > 1)
-    if few.any():
-        size = np.where(few, hi - lo, 0)
-        own = np.repeat(lo, hi - lo)
-        for step in range(1, int(size.max())):
-            i = np.flatnonzero(np.bitwise_count(keys[step:] ^ keys[:-step]) <= budget)
-            i = i[(own[i] == own[i + step]) & (size[np.searchsorted(lo, own[i])] > 0)] if len(i) else i
-            if len(i):
-                yield i, i + step
+    least = 1
+    for most in (16, 64, 256, 1024):  # by classes of size, so that a large group doesn't set the distance for all
+        few = (hi - lo > least) & (hi - lo <= min(most, small))
+        if few.any():
+            at = np.flatnonzero(np.repeat(few, hi - lo))
+            own, some = np.repeat(lo, hi - lo)[at], keys[at]
+            for step in range(1, int((hi - lo)[few].max())):
+                i = np.flatnonzero(np.bitwise_count(some[step:] ^ some[:-step]) <= budget)
+                i = i[own[i] == own[i + step]]
+                if len(i):
+                    yield at[i], at[i + step]
+        least = most
     lo, hi = lo[hi - lo > small], hi[hi - lo > small]
     ones = {}
 
