@@ -22,7 +22,7 @@ def trust_matrix(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """
     known = ids.select("id").distinct()
     own = edges.join(known.withColumnRenamed("id", "target_id"), "target_id", "left_semi").join(known.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
-    pairs = own.groupBy(F.col("target_id").alias("target"), F.col("source_id").alias("source")).agg(F.sum(F.col("weight").cast(EXACT)).alias("s"))
+    pairs = saved(own.groupBy(F.col("target_id").alias("target"), F.col("source_id").alias("source")).agg(F.sum(F.col("weight").cast(EXACT)).alias("s")))
     totals = pairs.groupBy("target").agg(F.sum("s").alias("total"))
     weighted = pairs.join(totals, "target").where("total <> 0")
     rows = weighted.select("target", "source", r6(F.col("s").cast("double") / F.col("total").cast("double")).alias("w"))
@@ -37,7 +37,7 @@ def _influence(current: DataFrame, matrix: DataFrame) -> DataFrame:
 
 
 def _iterate(start: DataFrame, matrix: DataFrame, step, max_steps: int, delta: float) -> DataFrame:
-    matrix, current = saved(matrix), saved(start)
+    current = saved(start)
     for _ in range(max_steps):
         new = saved(step(current, _influence(current, matrix)))
         change = new.agg(F.max(F.abs(F.col("value") - F.col("before")))).first()[0]
@@ -63,6 +63,7 @@ def degroot(beliefs: DataFrame, matrix: DataFrame, max_steps: int = MAX_STEPS, d
         joined = current.join(influence, "id", "left")
         return joined.select("id", r6(F.coalesce("influence", F.lit(0.0))).alias("value"), F.col("value").alias("before"))
 
+    matrix = saved(matrix)
     return _iterate(_start(matrix, beliefs), matrix, step, max_steps, delta)
 
 
@@ -70,6 +71,7 @@ def friedkin_johnsen(
     beliefs: DataFrame, initial: DataFrame, stubbornness: DataFrame, matrix: DataFrame, max_steps: int = MAX_STEPS, delta: float = CONVERGED
 ) -> DataFrame:
     """(id, value): as `degroot`, with each entity held by its stubbornness (default 0.5) to its initial belief (default 0)."""
+    matrix = saved(matrix)
     start = _start(matrix, beliefs)
     held = start.join(initial.select("id", F.col("value").cast("double").alias("anchor")), "id", "left")
     held = held.join(stubbornness.select("id", F.col("value").cast("double").alias("lam")), "id", "left").fillna({"anchor": 0.0, "lam": 0.5})

@@ -25,9 +25,8 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    # lines of a supplier's nation and order are added up before the order's customer is looked up
-    by_order = line.join(supplier, line.l_suppkey == supplier.s_suppkey).groupBy("l_orderkey", "s_nationkey").agg(F.sum("r").alias("r"))
-    joined = by_order.join(orders, by_order.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == customer.c_custkey)
+    buyers = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    joined = line.join(supplier, line.l_suppkey == supplier.s_suppkey).join(buyers, line.l_orderkey == orders.o_orderkey)
     revenue = joined.groupBy("c_nationkey", "s_nationkey").agg(F.sum("r").cast("double").alias("rev"))
     most = revenue.agg(F.max("rev").alias("most"))
     source, target = F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("n"), "s_nationkey")
