@@ -184,7 +184,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, y, text, source, lang, n_chars) to (doc_id, y, index, value, source, lang, n_chars)."""
     for batch in batches:
         found = [text_view(t) for t in batch.column(2).to_pylist()]
-        columns = [pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.astype(np.float64).tobytes() for _, v in found], pa.binary())]
+        columns = [pa.array([i.astype(np.uint16).tobytes() for i, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, *batch.columns[3:]], names=["h", "y", "index", "value", "source", "lang", "n_chars"])
 
 
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     if len(set(y.tolist())) < 2:
         return None
     views = [
-        (Rows([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"])) for r in half]), Rows([meta_view(r["source"], r["lang"], r["n_chars"]) for r in half]))
+        (Rows([(np.frombuffer(r["index"], np.uint16).astype(np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in half]), Rows([meta_view(r["source"], r["lang"], r["n_chars"]) for r in half]))
         for half in halves
     ]
     return co_train(views[0], y, views[1])

@@ -235,6 +235,7 @@ def top_k(rows: DataFrame, every: int = 100, k: int = 10, slice_bytes: int = SLI
         for r in first.collect():
             known[np.searchsorted(ids, r["query_id"])] = r["score"]
         new = _best(_run(index, ids, q, at, top, k, floats, known), k)
+        new = saved(new) if slices > 1 else new  # else one plan would hold all slices
         found = new if found is None else found.union(new)
     if found is None:
         return spark.createDataFrame([], schema)
