@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from conftest import prose
+from prose import prose
 
 from tessera.llm import cotraining
 

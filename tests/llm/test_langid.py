@@ -4,7 +4,7 @@ import random
 import zlib
 
 import numpy as np
-from conftest import prose
+from prose import prose
 from pyspark.sql import functions as F
 
 from tessera.llm import langid
