@@ -14,7 +14,7 @@ from ..functions.ticks import TickClock
 from ..operators import beliefs, diffusion, federation, graph, learning, nearest, ontology, projection, temporal, traverse
 from ..plans import adapters as A
 from ..plans.adapters import BELIEFS, SIGNS, TOUCHES, TRADE, table
-from ..sources import eventlog
+from ..sources import checkpoint, eventlog
 from ..plans.lineage import saved, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,6 +352,18 @@ def log_read_from(spark, d):
     return events.select("seq").join(ops, "seq")
 
 
+@query(f"WITH {_STATE.replace('WHERE TRUE', f'WHERE seq <= {_AT}')} SELECT id, source_id, target_id, weight, log_seq, 'rng' AS rng_state FROM edges")
+def checkpoint_round_trip(spark, d):
+    """State at a position, saved as a checkpoint and loaded again with its checksum."""
+    import uuid
+
+    folder, at, events = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}", _half(spark, d), A.event_log(spark, d)
+    config = graph.GraphConfig("events", embedding_dim=4, hdc_dim=8)
+    checkpoint.save(folder, "events", at, temporal.entities_at(events, config, at), temporal.edges_at(events, at), "rng")
+    held = checkpoint.load(spark, folder, "events")
+    return held.edges.select("id", "source_id", "target_id", "weight", "log_seq", F.lit(held.rng_state).alias("rng_state"))
+
+
 # -- ontology -----------------------------------------------------------------------------------
 
 
@@ -522,6 +534,20 @@ def belief_unknown(spark, d):
     return _open(table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("proposition")).withColumn("b", B.unknown(F.col("proposition"))), "proposition")
 
 
+_AUTHORITIES = {"1-URGENT": "world", "2-HIGH": "inference", "3-MEDIUM": "player", "4-NOT SPECIFIED": "system", "5-LOW": "system"}
+
+
+@query(
+    f"""WITH {BELIEFS}, r AS (SELECT *, row_number() OVER (PARTITION BY proposition ORDER BY CASE substr(ord, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 ELSE 3 END DESC, ord) AS n FROM beliefs)
+    SELECT proposition, ord AS source, {_masses('t', 'f', 'u')} FROM r WHERE n = 1"""
+)
+def belief_best_authority(spark, d):
+    """Of all sources of a proposition the one of the highest authority, the first of these."""
+    names = F.create_map(*[F.lit(x) for pair in _AUTHORITIES.items() for x in pair])
+    rows = A.beliefs(spark, d).select("proposition", F.col("ord").alias("source"), "b", names[F.col("ord")].alias("authority"), F.substring("ord", 1, 1).cast("int").alias("ord"))
+    return _open(beliefs.best_by_authority(rows, "proposition"), "proposition", "source")
+
+
 # -- vectors and memories --------------------------------------------------------------------------
 
 _SUM = lambda xs: f"list_reduce(list_prepend(0.0::DOUBLE, {xs}), lambda s, x: s + x)"
@@ -615,6 +641,19 @@ def hdc_bundle_fold(spark, d):
     return learning.remember_set(facts).select("id", F.posexplode("bundle").alias("i", "x")).select("id", (F.col("i") + 1).alias("i"), F.col("x").cast("int").alias("x"))
 
 
+@query(
+    f"""WITH {SIGNS}, p AS (SELECT a.id, a.v AS b, e.v AS e, CASE WHEN a.id % 2 = 0 THEN 8 ELSE 1 END AS reps FROM signs a JOIN signs e ON e.id = a.id + 1)
+    SELECT id, i, (CASE WHEN b[i] + e[i] * reps >= 0 THEN 1 ELSE -1 END)::INTEGER AS x FROM p, (SELECT unnest({_DIM})::INTEGER AS i)"""
+)
+def hdc_remember_step(spark, d):
+    """One experience put into a memory, strongly or weakly."""
+    s = A.signs(spark, d)
+    e = s.select((F.col("id") - 1).alias("id"), F.col("v").alias("e"))
+    weight = F.when(F.col("id") % 2 == 0, 0.8).otherwise(0.1)
+    made = s.join(e, "id").select("id", F.posexplode(hdc.remember(F.col("v"), F.col("e"), weight)).alias("i", "x"))
+    return made.select("id", (F.col("i") + 1).alias("i"), F.col("x").cast("int").alias("x"))
+
+
 @query()
 def hdc_base_vectors(spark, d):
     return _nations(spark, d).select("id", hdc.base_vector(F.col("id"), 42, 64).alias("v"), hdc.relation_vector(F.col("type"), 42, 8).alias("relation"))
