@@ -522,9 +522,9 @@ def belief_blend(spark, d):
     return _open(_belief_pairs(spark, d).withColumn("b", B.blend(F.col("a"), 0.7, F.col("b"), 0.3)), "proposition")
 
 
-@query(f"WITH {_PAIRS} SELECT proposition, t1 AS first_true, t2 AS second_true, {_K} AS conflict_k FROM pairs WHERE {_K} >= 0.45")
+@query(f"WITH {_PAIRS} SELECT proposition, t1 AS first_true, t2 AS second_true, {_K} AS conflict_k FROM pairs WHERE {_K} >= 0.22")
 def belief_escalate(spark, d):
-    _, out = beliefs.settle(_belief_pairs(spark, d), "escalate", 0.45)
+    _, out = beliefs.settle(_belief_pairs(spark, d), "escalate", 0.22)
     c = F.col("conflict")
     return out.select(c["proposition"].alias("proposition"), c["first"]["m_true"].alias("first_true"), c["second"]["m_true"].alias("second_true"), c["conflict_k"].alias("conflict_k"))
 
