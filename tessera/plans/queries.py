@@ -203,10 +203,11 @@ def entity_put(spark, d):
     return graph.put(rows, new)
 
 
-@query("SELECT 'c' || c_custkey AS id, c_name AS type FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'c' || c_custkey AS id, c_name AS type FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def entity_remove(spark, d):
     rows = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("type"))
-    return graph.remove(rows, table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("id")).distinct())
+    orders = table(spark, d, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
+    return graph.remove(rows, orders.select(F.concat(F.lit("c"), "o_custkey").alias("id")).distinct())
 
 
 @query("SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -783,12 +784,12 @@ def dag_levels(spark, d):
     return federation.levels(graphs, tree)
 
 
-_QUEUE = "q AS (SELECT o_orderkey AS ord, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 30 AS deliver_at FROM orders)"
+_QUEUE = "q AS (SELECT o_orderkey AS ord, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 30 AS deliver_at FROM orders)"
 
 
 def _queue(spark, d):
     o = table(spark, d, "orders")
-    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
     writes = o.select(F.col("o_orderkey").alias("ord"), day.alias("tick"), (F.substring("o_orderpriority", 1, 1).cast("int") * 30).alias("temporal_offset"))
     return federation.enqueue(writes, "tick").select("ord", F.col("deliver_at").cast("long").alias("deliver_at"))
 
@@ -891,6 +892,52 @@ def tick_convert(spark, d):
     return table(spark, d, "events").select("event_id", clock.to_ms(e).alias("ms"), clock.from_ms(e * 7).alias("ticks"), clock.to_minutes(e).alias("minutes"))
 
 
+# -- the same on streams -----------------------------------------------------------------------------
+
+
+def _as_stream(spark, rows: DataFrame, folder: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
+
+
+@query(f"WITH {_QUEUE} SELECT 'g' || (ord % 4) AS target_graph, ord, deliver_at, 400::BIGINT AS delivered_at FROM q WHERE deliver_at <= 400")
+def stream_delivery(spark, d):
+    """Writes wait in the state of their graph until a tick reaches them."""
+    import uuid
+
+    from ..streaming import delivery
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    graph_id = F.concat(F.lit("g"), F.col("ord") % 4)
+    none = lambda kind: F.lit(None).cast(kind)
+    writes = _queue(spark, d).select(
+        graph_id.alias("target_graph"), "ord", F.lit("write").alias("kind"), F.col("ord").cast("string").alias("payload"), "deliver_at", F.lit(1.0).alias("fidelity"), none("bigint").alias("tick")
+    )
+    ticks = spark.range(4).select(
+        F.concat(F.lit("g"), "id").alias("target_graph"), F.lit(2**62).alias("ord"), F.lit("tick").alias("kind"), none("string").alias("payload"), none("bigint").alias("deliver_at"),
+        none("double").alias("fidelity"), F.lit(400).cast("long").alias("tick"),
+    )
+    source = _as_stream(spark, writes.union(ticks), f"{folder}/in")
+    out = delivery.deliver(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(delivery.OUTPUT).parquet(f"{folder}/out")
+    return done.select("target_graph", F.col("payload").cast("long").alias("ord"), "deliver_at", "delivered_at")
+
+
+@query(f"WITH {_DIRTY} SELECT * FROM dirty")
+def stream_dirty_keys(spark, d):
+    """Dirty keys kept up to date by a stream of changes."""
+    import uuid
+
+    from ..streaming.state import Versions, track_dirty
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    held = Versions(spark, f"{folder}/dirty", "graph_id string, entity_id string, component string")
+    track_dirty(_as_stream(spark, _changes(spark, d), f"{folder}/in"), _registry(spark, d).manifest(spark), held, f"{folder}/state").awaitTermination()
+    return held.read()
+
+
 # -- paths and rules -------------------------------------------------------------------------------------
 
 _PATHS = f"""{TRADE}, one AS (SELECT source_id, target_id, weight, 1 AS hops FROM trade WHERE source_id <> target_id),
