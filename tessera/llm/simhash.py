@@ -98,7 +98,7 @@ def trie_links(keys: np.ndarray, groups: np.ndarray, budget: int = BUDGET, leaf:
     """
     lo, hi = groups[:-1], groups[1:]
     least = 1
-    for most in (16, 64, 256, 1024):  # by classes of size, so that a large group doesn't set the distance for all
+    for most in (16, 64, 256, 1024, 4096):  # by classes of size, so that a large group doesn't set the distance for all
         few = (hi - lo > least) & (hi - lo <= min(most, small))
         if few.any():
             at = np.flatnonzero(np.repeat(few, hi - lo))
