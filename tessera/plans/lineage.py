@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +12,24 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder all machines share, as the session names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is used.
+    Only where that is unset and all runs on one machine (tests) a temporary folder is used.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return context.getCheckpointDir()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder as Parquet and read again: its lineage cut, columns read as asked for."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder, its lineage cut."""
     shared_folder(df.sparkSession)
