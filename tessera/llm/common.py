@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import connected_components, numbered, saved, shared_folder
+from ..plans.lineage import connected_components, numbered, saved, shared_folder, stored
 
-__all__ = ["connected_components", "numbered", "saved", "shared_folder"]
+__all__ = ["connected_components", "numbered", "saved", "shared_folder", "stored"]
 
 #: ASCII blanks between words, as `bytes.split()` and `[\x20\x09-\x0D]` see them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,17 @@ def small(held: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(held) if held.count() <= rows else held
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that `docs` has not got."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table as read, dealt over the cores where it comes in fewer parts than there are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
