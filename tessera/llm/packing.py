@@ -30,7 +30,8 @@ from .tokens import byte_letters
 
 CAPACITY = 4096
 END = 1
-#: Fillings tried for a sequence, and sequences' fillings tried in all, before the best solution so far is taken.
+#: Fillings tried for a sequence at first, and times eight each time a search ends without proof; sequences' fillings
+#: tried in all before the best solution so far is taken.
 WIDTH = 8
 NODES = 20_000
 #: Entries of a worker's table of pieces between blanks.
@@ -160,30 +161,34 @@ def _undominated(filling: tuple[int, ...], counts: np.ndarray, waste: int) -> bo
     return not any(counts[s + 1 : s + waste + 1].any() for s in sums)
 
 
-def fillings(counts: np.ndarray, room: int, floor: int = 0, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` from the counts, least waste first, at most `width`, wasting at most `floor`.
+def fillings(counts: np.ndarray, room: int, floor: int = 0, width: int = WIDTH) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated fillings of `room` from the counts that waste at most `floor`, least waste first, and whether these are all.
 
     Long lengths are tried first.  Pairs that fill the room exactly are found for all
-    lengths at once.  A single length that fills it dominates all else.
+    lengths at once.  A single length that fills it dominates all else.  `width` bounds
+    the fillings and the lengths tried at each step.
     """
     if room <= 0:
-        return [()]
+        return [()], True
     if counts[room]:
-        return [(room,)]
+        return [(room,)], True
     found: list[tuple[int, tuple[int, ...]]] = []
-    budget = 4 * width
+    budget, every = 4 * width, True
 
     def exact_pairs(left: int, most: int) -> list[tuple[int, int]]:
+        nonlocal every
         low = np.arange(1, left // 2 + 1)
         high = left - low
         ok = (counts[low] > 0) & (counts[high] > 0) & (high <= most)
         if left % 2 == 0 and len(low) and counts[left // 2] < 2:
             ok[-1] = False
+        every &= int(ok.sum()) <= width
         return [(int(high[i]), int(low[i])) for i in np.flatnonzero(ok)[:width]]
 
     def walk(left: int, most: int, held: tuple[int, ...]) -> None:
-        nonlocal budget
+        nonlocal budget, every
         if budget <= 0 or sum(w == 0 for w, _ in found) >= width:
+            every = False
             return
         budget -= 1
         if left and left <= most and counts[left]:
@@ -193,9 +198,10 @@ def fillings(counts: np.ndarray, room: int, floor: int = 0, width: int = WIDTH)
             found.append((0, held + pair))
         usable = np.flatnonzero(counts[: min(left, most) + 1])
         if not len(usable):
-            if _undominated(held, counts, left):
+            if not counts[: left + 1].any() and _undominated(held, counts, left):
                 found.append((left, held))
             return
+        every &= len(usable) <= width
         for size in usable[::-1][:width].tolist():
             counts[size] -= 1
             walk(left - size, size, (*held, size))
@@ -211,31 +217,48 @@ def fillings(counts: np.ndarray, room: int, floor: int = 0, width: int = WIDTH)
             held.append(size)
             left -= size
         found.append((left, tuple(held)))
-    kept = sorted({f for f in found if f[0] <= floor} or {min(found)}, key=lambda f: (f[0], len(f[1]), tuple(-s for s in f[1])))
-    return [filling for _, filling in kept[:width]]
+    kept = sorted({f for f in found if f[0] <= floor}, key=lambda f: (f[0], len(f[1]), tuple(-s for s in f[1])))
+    return [filling for _, filling in kept[:width]], every and len(kept) <= width
 
 
-def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
+def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> Plan:
     """Sequences for counts by length (index 1 to capacity), as few as the search finds.
 
-    The search stops at the lower bound, the sum of lengths over the capacity, or after
-    `nodes` fillings; the best solution by then is returned.  It always holds all pieces.
+    The search ends at the lower bound, the sum of lengths over the capacity; or when it
+    has tried all, then the result is the least there is; or after `nodes` fillings in
+    all, then it is the best solution by then.  It always holds all pieces.  Where a
+    search ends that left out fillings, it starts again with eight times the width.
     """
     counts = np.array(counts, np.int64)
-    total = int((counts * np.arange(len(counts))).sum())
-    least = -(-total // capacity)
     best = best_fit(counts, capacity)
-    fewest = sum(n for _, n in best)
-    path: list[tuple[Iterator, tuple[int, ...], int]] = []  # alternatives, pattern applied, how often
-    waste = 0
+    least = -(-int((counts * np.arange(len(counts))).sum()) // capacity)
+    while sum(n for _, n in best) > least and nodes > 0:
+        best, nodes, proven = _search(counts, capacity, best, least, nodes, width)
+        if proven:
+            break
+        width *= 8
+    return best
+
+
+def _search(counts: np.ndarray, capacity: int, best: Plan, least: int, nodes: int, width: int) -> tuple[Plan, int, bool]:
+    """Depth-first over fillings of the longest length left; (best plan, nodes left, is it proven to be the best?)
+
+    A filling is applied as often as it fits, then on the way back less often, down to
+    once; where it was applied less often it may not follow again for that length.
+    """
+    total = int((counts * np.arange(len(counts))).sum())
+    fewest, waste, every = sum(n for _, n in best), 0, True
+    # patterns not tried yet, pattern applied, how often, patterns that may not follow
+    path: list[tuple[list, tuple[int, ...], int, frozenset]] = []
 
-    def options() -> Iterator[tuple[int, ...]]:
+    def options(barred: frozenset) -> list[tuple[int, ...]]:
+        nonlocal every
         size = int(np.flatnonzero(counts)[-1])
         counts[size] -= 1
-        slack = (fewest - 1) * capacity - total - waste
-        out = [(size, *f) for f in fillings(counts, capacity - size, max(0, slack))]
+        some, whole = fillings(counts, capacity - size, max(0, (fewest - 1) * capacity - total - waste), width)
         counts[size] += 1
-        return iter(out)
+        every &= whole
+        return [p for f in some[::-1] if (p := (size, *f)) not in barred]
 
     def apply(pattern: tuple[int, ...], times: int) -> None:
         nonlocal waste
@@ -243,33 +266,38 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -
             counts[size] -= n * times
         waste += (capacity - sum(pattern)) * times
 
-    if fewest == least or not total:
-        return best
-    todo = options()
+    counts = counts.copy()
+    barred: frozenset = frozenset()
+    todo, again = options(barred), None
     while nodes:
         nodes -= 1
-        pattern = next(todo, None)
-        if pattern is not None:
-            times = min(int(counts[size]) // n for size, n in Counter(pattern).items())
-            gap = capacity - sum(pattern)
-            slack = (fewest - 1) * capacity - total - waste
-            if gap and times * gap > slack:
-                times = slack // gap
+        if again or todo:
+            pattern, times = again or (todo.pop(), 0)
+            if not times:
+                times = min(int(counts[size]) // n for size, n in Counter(pattern).items())
+                gap = capacity - sum(pattern)
+                if gap:
+                    times = min(times, ((fewest - 1) * capacity - total - waste) // gap)
+            again = None
             if times < 1:
                 continue  # more waste than a better solution has
             apply(pattern, times)
-            path.append((todo, pattern, times))
+            path.append((todo, pattern, times, barred))
             if counts.any():
-                todo = options()
+                # of one length, fillings follow in one order only: those tried before it are barred, and it too once applied less often
+                barred = (barred if counts[pattern[0]] else frozenset()) | {pattern} if counts[pattern[0]] else frozenset()
+                todo = options(barred)
                 continue
-            best, fewest = [(p, n) for _, p, n in path], sum(n for _, _, n in path)
+            if (n := sum(t for _, _, t, _ in path)) < fewest:
+                best, fewest = [(p, t) for _, p, t, _ in path], n
             if fewest <= least:
-                break
+                return best, nodes, True
         elif not path:
-            break
-        todo, pattern, times = path.pop()
+            return best, nodes, every
+        todo, pattern, times, barred = path.pop()
         apply(pattern, -times)
-    return best
+        again = (pattern, times - 1) if times > 1 else None
+    return best, 0, False
 
 
 def _places(plan: Plan) -> tuple[np.ndarray, ...]:
@@ -320,5 +348,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Places of all pieces of `docs` (doc_id, text); a null text is empty and has the end id alone."""
+    """Places of all pieces of `docs` (doc_id, text); a null or empty text has the end id alone.
+
+    Texts may have any length, rows may repeat and share ids: each row's pieces get
+    places of their own; which of equal rows gets which is of no consequence.  An empty
+    table gives no rows.  Other columns are not read, whatever their names.
+    """
     return pack(pieces(docs, path, capacity), capacity)

@@ -55,6 +55,32 @@ def test_plan_is_optimal_on_small_cases():
         assert sum(n for _, n in plan) == fewest(items, capacity)
 
 
+def test_plan_is_optimal_where_lengths_repeat():
+    """Best fit takes 6 sequences here, and so does a search that always applies a filling as often as it fits."""
+    counts = np.zeros(31, int)
+    for size, n in ((7, 4), (10, 2), (11, 4), (16, 3)):
+        counts[size] = n
+    assert sum(n for _, n in packing.best_fit(counts, 30)) == 6
+    plan = packing.complete(counts, 30)
+    assert (held(plan, 31, 30) == counts).all() and sum(n for _, n in plan) == 5
+    rng = random.Random(1)
+    for _ in range(600):
+        capacity = rng.choice([20, 30, 40])
+        kinds = [rng.randint(2, capacity * 2 // 3) for _ in range(rng.randint(2, 5))]
+        items = [rng.choice(kinds) for _ in range(rng.randint(4, 12))]
+        plan = packing.complete(np.bincount(items, minlength=capacity + 1), capacity)
+        assert sum(n for _, n in plan) == fewest(items, capacity)
+
+
+def test_search_decides_a_table(spark):
+    """Rows whose best packing only the search finds, one of them repeated."""
+    rows = [(k, 0, 0, size, k) for k, size in enumerate([7] * 4 + [10] * 2 + [11] * 4 + [16] * 3)]
+    rows[1] = rows[0]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), 30).collect()
+    assert len(got) == 13 and len({g["sequence_id"] for g in got}) == 5
+    assert packing.pack(spark.createDataFrame([], "doc_id long, piece int, start long, length long, ids_crc32 long"), 30).count() == 0
+
+
 def test_plan_is_near_the_bound_on_many():
     lengths = np.clip(np.random.default_rng(0).lognormal(6.3, 1, 30_000).astype(int), 1, 4096)
     counts = np.bincount(lengths, minlength=4097)
