@@ -10,7 +10,8 @@ the first whose bound is below the k-th best score.
 
 Queries are a set that grows with the table.  They are taken in slices of bounded size;
 each slice is broadcast and run over the index, first the annuli the queries lie in,
-then what the scores found there do not rule out.
+then what the scores found there do not rule out.  Vectors of blocks that no query of
+the slice needs are never unpacked.
 """
 
 from __future__ import annotations
@@ -37,14 +38,12 @@ EXACT = 1 << 53
 def quantised(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v): components floor(1024 * x); rows that take no part are gone.
 
-    Those are: a null id; a vector that is null, empty, or holds a null or non-finite
-    component; a vector of another length than most have (the longer on a tie).
+    Those are: a vector that is null, empty, or holds a null or non-finite component.
+    Components beyond a long become the nearest long.
     """
     values = F.transform(F.col(vector), lambda x: x.cast("double"))
     bad = F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    good = rows.select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("x")).where(
-        F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & ~bad
-    )
+    good = rows.select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("x")).where(F.col("x").isNotNull() & (F.size("x") > 0) & ~bad)
     return good.select("vec_id", F.transform("x", lambda x: F.floor(x * SCALE)).alias("v"))
 
 
@@ -61,11 +60,19 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T))
 
 
-def _scores(q: np.ndarray, v: np.ndarray, floats: bool) -> np.ndarray:
-    """Integer inner products.  Doubles hold them exactly where the largest norm allows."""
-    if floats:
-        return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    return np.array(q.astype(object) @ v.T.astype(object), dtype=np.int64)
+def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Integer inner products, a score beyond a long as the nearest long.
+
+    Doubles hold a product exactly where the norms' product is below 2^53, which no sum
+    of its terms exceeds; the few others go by Python's integers.
+    """
+    a, b = q.astype(np.float64), v.astype(np.float64)
+    large = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1)) >= EXACT
+    out = np.where(large, 0, a @ b.T).astype(np.int64)
+    for i, j in zip(*np.nonzero(large)):
+        exact = sum(x * y for x, y in zip(q[i].tolist(), v[j].tolist()))
+        out[i, j] = min(max(exact, -(1 << 63)), (1 << 63) - 1)
+    return out
 
 
 def pivots(vectors: DataFrame, top: int, dim: int, n: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
@@ -82,7 +89,7 @@ def pivots(vectors: DataFrame, top: int, dim: int, n: int = PIVOTS, sample: int
 def build_index(vectors: DataFrame, at: np.ndarray, top: int, dim: int, block: int = BLOCK) -> DataFrame:
     """Blocks (pivot, r_min, r_max, ids, vectors) of rows sorted by pivot and distance, written.
 
-    Every row is indexed; rows with the same id and vector count as one.
+    Every row is indexed.  `ids` holds a block's ids, then a byte each: is the id not null?
     """
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(at)
@@ -99,19 +106,18 @@ def build_index(vectors: DataFrame, at: np.ndarray, top: int, dim: int, block: i
         held: list = []
 
         def made(rows) -> pa.RecordBatch:
-            pivot, r, ids, v = rows
+            pivot, r, ids, has, v = rows
             return pa.RecordBatch.from_arrays(
-                [pa.array([int(pivot[0])], pa.int32()), pa.array([float(r.min())]), pa.array([float(r.max())]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())],
+                [pa.array([int(pivot[0])], pa.int32()), pa.array([float(r.min())]), pa.array([float(r.max())]), pa.array([ids.tobytes() + has.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())],
                 names=["pivot", "r_min", "r_max", "ids", "vectors"],
             )
 
         for batch in it:
             if not batch.num_rows:
                 continue
-            new = [batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(0).to_numpy(), _matrix(batch.column(1), dim)]
+            ids = batch.column(0)
+            new = [batch.column(2).to_numpy(), batch.column(3).to_numpy(), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), _matrix(batch.column(1), dim)]
             rows = [np.concatenate(x) for x in zip(held, new)] if held else new
-            same = np.concatenate([[False], (rows[0][1:] == rows[0][:-1]) & (rows[2][1:] == rows[2][:-1]) & (rows[3][1:] == rows[3][:-1]).all(axis=1)])
-            rows = [x[~same] for x in rows]
             edges = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1, [len(rows[0])]])
             for a, b in zip(edges[:-1], edges[1:]):
                 while b - a >= 2 * block or (b - a >= block and b < len(rows[0])):
@@ -131,83 +137,94 @@ def build_index(vectors: DataFrame, at: np.ndarray, top: int, dim: int, block: i
     return saved(ordered.mapInArrow(blocks, "pivot int, r_min double, r_max double, ids binary, vectors binary"))
 
 
-def _run(index: DataFrame, ids: np.ndarray, q: np.ndarray, at: np.ndarray, top: int, k: int, floats: bool, known: np.ndarray | None) -> DataFrame:
-    """Rows (query_id, vec_id, score), for each task the best k of each query in the blocks it searches.
+class Search:
+    """The best k of each query in the blocks it is shown, each query from its narrowest gap outwards.
 
     known: the k-th best score of each query so far; None: only annuli that hold the
-    query are searched, for a first such score.
+    query are searched, for a first such score.  A query is an id and a vector; rows
+    equal to it in both are left out here.
     """
-    spark = index.sparkSession
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, far: np.ndarray, top: float, k: int, known: np.ndarray | None):
+        self.ids, self.q, self.far, self.top, self.k = ids, q, far, top, k
+        self.norms = (q.astype(np.float64) ** 2).sum(axis=1)
+        self.first = known is None
+        self.least = np.full(len(ids), np.iinfo(np.int64).min) if known is None else known.copy()
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))] * len(ids)
+        self.visited = 0
+
+    def visit(self, pivot: np.ndarray, r_min: np.ndarray, r_max: np.ndarray, ids: list, vectors: list) -> None:
+        """Blocks by columns; the last two are Arrow scalars, unpacked where some query needs them."""
+        dim, far, least = self.q.shape[1], self.far, self.least
+        at = far[:, pivot].T
+        gaps = np.maximum(0, np.maximum(r_min[:, None] - at, at - r_max[:, None]))
+        near = far.argmin(axis=1)
+        for b in np.argsort(gaps.min(axis=1), kind="stable"):
+            if self.first:
+                want = np.flatnonzero((gaps[b] == 0) & (near == pivot[b]))
+            else:
+                gap = np.maximum(0, gaps[b] - 1e-6 * (1 + at[b]))
+                want = np.flatnonzero(((self.norms + self.top - gap * gap) / 2 + 1 >= least) | (least == np.iinfo(np.int64).min))
+            if not len(want):
+                continue
+            self.visited += 1
+            v = np.frombuffer(vectors[b].as_buffer(), np.int64).reshape(-1, dim)
+            raw = ids[b].as_buffer()
+            vec_ids, has = np.frombuffer(raw, np.int64, len(v)), np.frombuffer(raw, bool, len(v), 8 * len(v))
+            for row, w in zip(_scores(self.q[want], v), want):
+                hit = np.flatnonzero(row >= least[w])
+                same = has[hit] & (vec_ids[hit] == self.ids[w])
+                if same.any():
+                    hit = hit[~(same & (v[hit] == self.q[w]).all(axis=1))]
+                if len(hit):
+                    s, i, h = (np.concatenate(x) for x in zip(self.best[w], (row[hit], vec_ids[hit], has[hit])))
+                    order = np.lexsort((i, ~h, -s))[: self.k]
+                    self.best[w] = s[order], i[order], h[order]
+                    if len(order) == self.k:
+                        least[w] = max(least[w], s[order[-1]])
+
+
+def _run(index: DataFrame, ids: np.ndarray, q: np.ndarray, at: np.ndarray, top: float, k: int, known: np.ndarray | None) -> DataFrame:
+    """Rows (query, vec_id, score), query by its position, for each task the best k of each in the blocks it searches."""
     own = _augmented(q, top)
     own[:, -1] = 0
-    shared = spark.sparkContext.broadcast((ids, q, _distances(own, at), (q.astype(np.float64) ** 2).sum(axis=1), known))
-    dim = q.shape[1]
+    shared = index.sparkSession.sparkContext.broadcast((ids, q, _distances(own, at), known))
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, far, norms, known = shared.value
-        n = len(ids)
-        least = np.full(n, np.iinfo(np.int64).min) if known is None else known.copy()
-        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
-
-        def visit(rows: list[tuple]) -> None:
-            """Blocks of one task, some at a time: each query from its narrowest gap outwards."""
-            gaps = np.stack([np.maximum(0, np.maximum(r0 - far[:, p], far[:, p] - r1)) for p, r0, r1, _, _ in rows])
-            for b in np.argsort(gaps.min(axis=1), kind="stable"):
-                p, r0, r1, raw_ids, raw = rows[b]
-                gap = np.maximum(0, gaps[b] - 1e-6 * (1 + far[:, p]))
-                if known is None:
-                    want = np.flatnonzero((gaps[b] == 0) & (far.argmin(axis=1) == p))
-                else:
-                    want = np.flatnonzero((norms + top - gap * gap) / 2 + 1 >= least)
-                if not len(want):
-                    continue
-                vec_ids, v = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw, np.int64).reshape(-1, dim)
-                scores = _scores(q[want], v, floats)
-                for row, w in zip(scores, want):
-                    hit = np.flatnonzero((row >= least[w]) & (vec_ids != ids[w]))
-                    if len(hit):
-                        s = np.concatenate([best[w][0], row[hit]])
-                        i = np.concatenate([best[w][1], vec_ids[hit]])
-                        order = np.lexsort((i, -s))[:k]
-                        best[w] = s[order], i[order]
-                        if len(order) == k:
-                            least[w] = max(least[w], s[order[-1]])
-
-        held: list[tuple] = []
+        ids, q, far, known = shared.value
+        one = Search(ids, q, far, top, k, known)
         for batch in it:
-            held += zip(*[batch.column(c).to_pylist() for c in range(5)])
-            if len(held) >= 64:
-                visit(held)
-                held = []
-        if held:
-            visit(held)
-        for at in range(0, n, 4096):
-            some = range(at, min(n, at + 4096))
+            if batch.num_rows:
+                one.visit(*(batch.column(c).to_numpy() for c in range(3)), *(list(batch.column(c)) for c in (3, 4)))
+        for at in range(0, len(ids), 4096):
+            some = one.best[at : at + 4096]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(ids[at : at + 4096], [len(best[w][0]) for w in some])),
-                    pa.array(np.concatenate([best[w][1] for w in some])),
-                    pa.array(np.concatenate([best[w][0] for w in some])),
+                    pa.array(np.repeat(np.arange(at, at + len(some)), [len(b[0]) for b in some])),
+                    pa.array(np.concatenate([b[1] for b in some]), mask=~np.concatenate([b[2] for b in some])),
+                    pa.array(np.concatenate([b[0] for b in some])),
                 ],
-                names=["query_id", "vec_id", "score"],
+                names=["query", "vec_id", "score"],
             )
 
-    return index.mapInArrow(search, "query_id long, vec_id long, score long")
+    return index.mapInArrow(search, "query long, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(rows: DataFrame, every: int = 100, k: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of all other rows for ids divisible by `every`.
-
-    Score: integer inner product of floor(1024 * x).  Ties go to the smaller vec_id.
-    Candidates are all rows with another id than the query's.  Rows that share an id
-    and a vector count as one; of rows that share an id that is queried but not the
-    vector, all are candidates and the least vector is the query.  Scores beyond a
-    long raise.  Fewer rows than k: all of them; an empty table: none.
+    """(query_id, rank, vec_id, score): the k best of all other rows for each row whose id is divisible by `every`.
+
+    Score: integer inner product of floor(1024 * x), a score beyond a long being the
+    nearest long.  Ties go to the smaller vec_id, null last.  Every row is a candidate,
+    but the query's own: rows that share its id or are equal to it too, and rows without
+    an id, which ask nothing.  Each of several rows with a queried id has k rows of its
+    own.  Vectors of another length than most have (the longer on a tie) have no product
+    with them and take no part.  Fewer rows than k: all of them; an empty table: none.
+    Other columns are not read, whatever their names.
     """
     spark = rows.sparkSession
     prepare(spark)
@@ -217,40 +234,47 @@ def top_k(rows: DataFrame, every: int = 100, k: int = 10, slice_bytes: int = SLI
     dims = vectors.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("top")).orderBy(F.desc("n"), F.desc("d")).first()
     if dims is None:
         return spark.createDataFrame([], schema)
-    dim, floats, top = dims["d"], dims["top"] < EXACT, dims["top"]
+    dim, top = dims["d"], dims["top"]
     vectors = vectors.where(F.size("v") == dim)
     at = pivots(vectors, top, dim)
     index = build_index(vectors, at, top, dim)
-    asked = saved(vectors.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
+    # rows equal in id and vector ask the same: once
+    asked = saved(vectors.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("rows")))
     n = asked.count()
     slices = max(1, -(-n * dim * 8 // slice_bytes))
     found = None
     for s in range(slices):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == s).orderBy("vec_id").collect()
+        part = asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(slices)) == s).orderBy("vec_id", "v").collect()
         if not part:
             continue
         ids, q = np.array([r["vec_id"] for r in part], np.int64), np.array([r["v"] for r in part], np.int64).reshape(-1, dim)
-        first = _best(_run(index, ids, q, at, top, k, floats, None), k).where(F.col("rank") == k).select("query_id", "score")
+        first = _best(_run(index, ids, q, at, top, k, None), k).where(F.col("rank") == k).select("query", "score")
         known = np.full(len(ids), np.iinfo(np.int64).min)
         for r in first.collect():
-            known[np.searchsorted(ids, r["query_id"])] = r["score"]
-        new = _best(_run(index, ids, q, at, top, k, floats, known), k)
+            known[r["query"]] = r["score"]
+        new = _run(index, ids, q, at, top, k, known)
+        # a query's equals are candidates of each other
+        twins = [(w, i, int(_scores(q[[w]], q[[w]])[0, 0]), min(k, m - 1)) for w, (i, m) in enumerate((r["vec_id"], r["rows"]) for r in part) if m > 1]
+        if twins:
+            held = spark.createDataFrame(twins, "query long, vec_id long, score long, copies int")
+            new = new.union(held.select("query", "vec_id", "score", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy"))
+        names = spark.createDataFrame([(w, r["vec_id"], r["rows"]) for w, r in enumerate(part)], "query long, query_id long, rows long")
+        each_row = F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_row")
+        new = _best(new, k).join(F.broadcast(names), "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", each_row).drop("_row")
         new = saved(new) if slices > 1 else new  # else one plan would hold all slices
         found = new if found is None else found.union(new)
-    if found is None:
-        return spark.createDataFrame([], schema)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 ORACLE = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+  SELECT q.r AS r, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
