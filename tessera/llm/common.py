@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import connected_components, numbered, saved, shared_folder, stored
@@ -45,18 +45,35 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-KEY, COPIES = "_row_key", "_row_copies"
+#: Keys of rows, with two counts each, that may be broadcast.
+BROADCAST_KEYS = 500_000
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """`docs` with KEY, a digest of all columns; equal rows have one key."""
-    return docs.withColumn(KEY, F.xxhash64(*docs.columns))
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of all columns; equal rows have one key."""
+    return F.struct(F.xxhash64(F.lit(1), *docs.columns).alias("a"), F.xxhash64(F.lit(2), *docs.columns).alias("b"))
 
 
-def copies_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `docs` by the copies `wanted` (KEY, COPIES) of each key, over all rows that share it."""
-    found = with_key(docs).join(wanted, KEY).dropDuplicates([KEY])
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(COPIES)))).select(*docs.columns)
+def copies_of(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """`docs` where rows of the keys in `changed` (key, rows, copies) come `copies` times in all, all others as they are.
+
+    rows: how many rows of `docs` have that key.  Only rows whose copies are no multiple
+    of their number, so equal rows, are brought together; the others are copied or left
+    out where they stand.  `changed` is broadcast if it is counted to be small, else
+    joined by shuffle.
+    """
+    (name,) = fresh(docs, "key")
+    changed = small(saved(changed.where("copies <> rows")), BROADCAST_KEYS)
+    even = changed.select(F.col("key").alias(f"{name}of"), F.when(F.col("copies") % F.col("rows") == 0, F.col("copies") / F.col("rows")).otherwise(0).cast("int").alias(f"{name}n"))
+    keyed = docs.withColumn(name, row_key(docs))
+    times = F.coalesce(F.col(f"{name}n"), F.lit(1))
+    here = keyed.join(even, F.col(name) == F.col(f"{name}of"), "left").where(times > 0)
+    here = here.withColumn(f"{name}copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    odd = changed.where("copies % rows <> 0").select(F.col("key").alias(f"{name}of"), F.col("copies").cast("int").alias(f"{name}n"))
+    if odd.isEmpty():
+        return here
+    together = keyed.join(odd, F.col(name) == F.col(f"{name}of")).dropDuplicates([name])
+    return here.union(together.withColumn(f"{name}copy", F.explode(F.array_repeat(F.lit(0), f"{name}n"))).select(*docs.columns))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list, out: str, per_task: int = 50_000) -> DataFrame:

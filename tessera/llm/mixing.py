@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COPIES, KEY, WORD, copies_of, numbered, prepare, ranked, saved, with_key
+from .common import WORD, copies_of, numbered, prepare, ranked, row_key, saved
 
 SEED = 7
 CYCLE = 3
@@ -173,11 +173,22 @@ def mix(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) for each row of `docs` (doc_id, text, source)."""
+    """(doc_id, size, source_size, target, taken, source) for each row of `docs` (doc_id, text, source).
+
+    Null and empty texts have size 0, a null source is a source; texts may have any
+    length, rows may repeat and an empty table gives no rows.  Of documents of one source
+    and size a seeded draw decides, then the id.  Other columns are not read, whatever
+    their names.
+    """
     return mix(sized(docs, ["doc_id"]), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """`docs` as the mix takes them: a row for each copy, none for documents it leaves out."""
-    taken = mix(sized(with_key(docs), ["doc_id", KEY]), ["doc_id", KEY])
-    return copies_of(docs, taken.groupBy(KEY).agg(F.sum("copies").cast("long").alias(COPIES)).where(F.col(COPIES) > 0))
+    """`docs` as the mix takes them: a row for each copy, none for documents it leaves out.
+
+    Nulls, ties, repeated rows and empty tables are as in `mixed`; columns may have any
+    names beside.
+    """
+    rows = docs.select("text", "source", row_key(docs).alias("key"))
+    taken = mix(sized(rows, ["key"]), ["key"])
+    return copies_of(docs, taken.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").cast("long").alias("copies")))

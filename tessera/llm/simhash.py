@@ -7,6 +7,10 @@ Inside a dealt group a binary trie over the fingerprints' bits is traversed in p
 nodes, adding up differing bits and dropping a pair once the error budget is exceeded.
 Of a group's links a spanning forest is passed on, which keeps every component.
 
+`one_of_each` looks for texts whose sets of five-word shingles are similar, whatever the
+similarity: its fingerprints are longer, the blocks as long as keeps cells small and as
+many as find nine in ten pairs at that similarity.
+
 A group above its share is dealt again: its fingerprints go by hash to chunks, and
 every pair of chunks becomes a group of its own, so that no link is lost and no task
 holds more than two chunks.
@@ -14,7 +18,8 @@ holds more than two chunks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COPIES, KEY, connected_components, copies_of, prepare, saved, small, with_key
+from .common import connected_components, copies_of, prepare, row_key, saved, small, stored
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BUDGET = 3
@@ -247,40 +252,184 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt(prints).mapInArrow(_forests, "a long, b long")
 
 
-def components(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """Of saved `rows` with `fp`: linked fingerprints as (fp, least), least the smallest struct of `ids` in the component.
+def components(rows: DataFrame, ids: list[str], more: list[str] | None = None, link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """Of written `rows` with `fp`: (of_fp, least) of fingerprints of several rows or with links.
 
-    Fingerprints without a partner are absent: a component of theirs is their own copies.
+    least: the smallest struct of `ids` in the component.  `link` gives links of the
+    distinct fingerprints, which come with the columns `more`.  The result is marked for
+    broadcast if it is counted to be small, so that rows of a busy fingerprint stay apart.
     """
-    own = saved(rows.groupBy("fp").agg(F.min(F.struct(*ids)).alias("least")))
-    found = connected_components(links(own.select("fp")))
-    named = own.join(found, own.fp == found.node).select("fp", "root", "least")
+    more = more or []
+    own = saved(rows.groupBy("fp").agg(F.min(F.struct(*ids)).alias("least"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in more]))
+    found = connected_components(link(own.select("fp", *more)))
+    named = own.select("fp", "least").join(found, own.fp == found.node).select("fp", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("all_least"))
-    linked = named.join(least, "root").select(F.col("fp").alias("_fp"), "all_least")
-    return own.join(linked, own.fp == linked["_fp"], "left").select(
-        own.fp.alias("of_fp"), F.coalesce("all_least", "least").alias("least")
-    )
+    linked = named.join(least, "root").select(F.col("fp").alias("of_fp"), F.col("all_least").alias("least"))
+    alone = own.where("n > 1").join(linked, own.fp == linked.of_fp, "left_anti").select(F.col("fp").alias("of_fp"), "least")
+    return small(saved(linked.union(alone)))
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of `docs`.
 
-    Null and blank texts have fingerprint zero and are linked like others.  Rows may
-    repeat and share ids; component_id is the smallest non-null id reachable, null if
-    all ids in the component are null.  Other columns are not read.
+    Null and blank texts have fingerprint zero and are linked like others; texts may have
+    any length.  Rows may repeat and share ids; component_id is the smallest non-null id
+    reachable, null if all ids in the component are null.  An empty table gives no rows.
+    Other columns are not read, whatever their names.
     """
-    rows = saved(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
+    rows = stored(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
     # nulls sort first in a struct, so a flag puts them last
     of = components(rows.withColumn("_no", F.col("doc_id").isNull()), ["_no", "doc_id"])
-    return rows.join(of, rows.fp == of.of_fp).select(
+    return rows.join(of, rows.fp == of.of_fp, "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.col("least.doc_id").alias("component_id"),
+        F.when(of.of_fp.isNull(), rows.doc_id).otherwise(F.col("least.doc_id")).alias("component_id"),
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each component: that of the smallest id, null last; of equal rows one."""
-    prints = saved(with_fingerprints(with_key(docs).select(KEY, "doc_id", "text")))
-    of = components(prints.withColumn("_no", F.col("doc_id").isNull()), ["_no", "doc_id", KEY])
-    return copies_of(docs, of.select(F.col(f"least.{KEY}").alias(KEY)).distinct().withColumn(COPIES, F.lit(1).cast("long")))
+#: Words of a shingle and similarity of shingle sets from which texts are near copies.
+WIDTH = 5
+SIMILARITY = 0.8
+#: Share of pairs at that similarity that agree in a block, and rows that a cell holds on average, at most.
+FOUND = 0.91
+CELL = 16
+#: Longs of a long fingerprint by which two are compared, beside those that blocks are made of.
+COMPARED = 4
+
+
+def turned(similarity: float) -> float:
+    """Expected share of bits in which fingerprints of sets of one size and this Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def block_plan(n: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """(bits of a block, blocks) for `n` fingerprints."""
+    bits = min(40, max(8, math.ceil(math.log2(max(2, n) / CELL))))
+    return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - (1 - turned(similarity)) ** bits))
+
+
+def budgets(similarity: float = SIMILARITY) -> tuple[int, int]:
+    """Bits that near copies may differ in: of 64, with 3.5 standard deviations of room, and of COMPARED longs, with 1.25."""
+    p = turned(similarity)
+    room = lambda n, k: int(n * p + k * math.sqrt(n * p * (1 - p)))
+    return room(64, 3.5), room(64 * COMPARED, 1.25)
+
+
+def long_fingerprint(text: str | None, longs: int, width: int = WIDTH) -> np.ndarray:
+    """`longs` words of 64 bits, the SimHash of the set of `width`-word shingles; zeros without a word."""
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+    if not words:
+        return np.zeros(longs, np.uint64)
+    known: dict[bytes, int] = {}
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, known)), np.uint64)[ids]
+    n = max(1, len(words) - width + 1)
+    shingles = np.zeros(n, np.uint64)
+    for k in range(min(width, len(words))):
+        shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    shingles = np.unique(shingles)
+    out = np.empty((longs, 8), np.uint8)
+    for k in range(longs):
+        x = (shingles ^ np.uint64(0xD6E8FEB86659FD93 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        sums = np.zeros(64, np.int64)
+        for at in range(0, len(x), 16384):
+            sums += np.unpackbits(x[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * sums > len(x))
+    return out.view(np.uint64)[:, 0]
+
+
+def _long_fingerprints(longs: int):
+    """(key, doc_id, text) to (key, doc_id, fp, compared, blocks)."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            prints = [long_fingerprint(t, longs).tobytes() for t in batch.column(2).to_pylist()]
+            fp = np.fromiter((xxhash.xxh64_intdigest(x) for x in prints), np.uint64, len(prints)).view(np.int64)
+            columns = [pa.array(fp), pa.array([x[: 8 * COMPARED] for x in prints], pa.binary()), pa.array([x[8 * COMPARED :] for x in prints], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["key", "doc_id", "fp", "compared", "blocks"])
+
+    return batches
+
+
+def _block_rows(bits: int, blocks: int):
+    """(fp, compared, blocks) to a row (cell, fp, compared) for each block."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = (1 << np.arange(bits, dtype=np.int64))[::-1]
+        for batch in it:
+            n = batch.num_rows
+            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8)
+            value = np.unpackbits(raw, axis=1)[:, : bits * blocks].reshape(n, -1, bits) @ power if n else np.zeros((0, blocks), np.int64)
+            of = pa.array(np.repeat(np.arange(n), blocks))
+            cell = (value * blocks + np.arange(blocks)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0).take(of), batch.column(1).take(of)], names=["cell", "fp", "compared"])
+
+    return batches
+
+
+def _long_forests(few: int, most: int):
+    """Of rows (cell, part, fp, compared) sorted by the first two: links that span each group's near fingerprints."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(rows: pa.Table) -> pa.RecordBatch:
+            cell, part, fp = (rows.column(k).to_numpy() for k in range(3))
+            words = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(len(fp), COMPARED)
+            group = np.cumsum((np.diff(cell, prepend=cell[0]) != 0) | (np.diff(part, prepend=part[0]) != 0))
+            order = np.lexsort((words[:, 0], group))
+            words, fp, group = words[order], fp[order], group[order]
+            firsts = np.concatenate([np.flatnonzero(np.diff(group, prepend=-1)), [len(fp)]])
+            forest = Forest(len(fp))
+            for i, j in trie_links(np.ascontiguousarray(words[:, 0]), firsts, few, small=256):
+                near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= most
+                forest.join(i[near], j[near])
+            moved = np.flatnonzero(forest.label != np.arange(len(fp)))
+            return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[forest.label[moved]])], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in it:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= 50_000:
+                rows = pa.Table.from_batches(held)
+                cell, part = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                last = np.flatnonzero((cell != cell[-1]) | (part != part[-1]))
+                cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
+                if cut:
+                    yield solved(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+                n -= cut
+        if n:
+            yield solved(pa.Table.from_batches(held))
+
+    return batches
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """`docs` with one row of each component of near copies: that of the smallest id, null last; of equal rows one.
+
+    Near copies are texts whose long fingerprints of five-word shingles differ in no
+    more bits than is usual at `similarity`.  Texts without a word are copies of each
+    other.  Texts may have any length; ids may repeat, then a digest of the row decides;
+    an empty table gives none.  Columns may have any names beside.
+    """
+    prepare(docs.sparkSession)
+    bits, blocks = block_plan(docs.count(), similarity)
+    longs = COMPARED + -(-bits * blocks // 64)
+    rows = docs.select(row_key(docs).alias("key"), "doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    prints = stored(rows.mapInArrow(_long_fingerprints(longs), f"key struct<a:bigint,b:bigint>, doc_id {kind}, fp long, compared binary, blocks binary"))
+
+    def link(own: DataFrame) -> DataFrame:
+        cells = own.mapInArrow(_block_rows(bits, blocks), "cell long, fp long, compared binary")
+        dealt = split_cells(cells, "cell", "fp", CHUNK, CELL).select("cell", "part", "fp", "compared")
+        return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_long_forests(*budgets(similarity)), "a long, b long")
+
+    of = components(prints.withColumn("_no", F.col("doc_id").isNull()), ["_no", "doc_id", "key"], ["compared", "blocks"], link)
+    counted = prints.groupBy("key").agg(F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows"))
+    first = F.col("of_fp").isNull() | (F.col("key") == F.col("least.key"))
+    stays = counted.join(of, counted.fp == of.of_fp, "left").select("key", "rows", F.when(first, 1).otherwise(0).cast("long").alias("copies"))
+    return copies_of(docs, stays)

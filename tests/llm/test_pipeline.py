@@ -11,7 +11,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from test_lines import brute as line_copies  # noqa: E402
-from test_simhash import brute_print, groups  # noqa: E402
+from test_simhash import near_groups  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 
@@ -35,7 +35,7 @@ def test_stages_against_brute_force(spark, docs, rows, tmp_path):
                 if left.strip() or not gone:
                     want.append((r[0], left, *r[2:4], len(left), *r[5:]))
         elif name == "near_dedup":
-            label = groups([brute_print(r[1]) for r in before])
+            label = near_groups([r[1] for r in before])
             assert len(after) == len(set(label))
             ids = sorted(str(min((r[0] is None, r[0]) for r, g in zip(before, label) if g == one)[1]) for one in set(label))
             assert sorted(str(r["doc_id"]) for r in state.collect()) == ids
