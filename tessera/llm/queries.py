@@ -44,8 +44,7 @@ def op7_topk_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotraining.classify(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_packing_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
