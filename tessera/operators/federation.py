@@ -164,3 +164,17 @@ def process_tick(queue: DataFrame, tick: int, order: str = "ord") -> tuple[DataF
     """(due, left): writes with deliver_at up to the tick in delivery order, and the rest.  Ties keep the order of arrival."""
     due = F.col("deliver_at") <= tick
     return queue.where(due).orderBy("deliver_at", order), queue.where(~due)
+
+
+def save_queue(queue: DataFrame, path: str) -> None:
+    """Writes a queue as Parquet, on any file system Spark writes; what was there before is replaced."""
+    queue.write.mode("overwrite").parquet(path)
+
+
+def restore_queue(spark: SparkSession, path: str) -> DataFrame:
+    """The queue as saved."""
+    return spark.read.parquet(path)
+
+
+def queue_size(queue: DataFrame) -> int:
+    return queue.count()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import clamp, r6
 from ..plans.lineage import numbered
+from .learning import learn
 
 ENTITY = (
     "id string, graph_id string, type string, properties map<string,string>, embedding array<float>, "
@@ -191,12 +192,13 @@ def check_domain_range(edges: DataFrame, entities: DataFrame, verbs: DataFrame)
 
 @dataclass
 class Commit:
-    """What a batch of commands does: refused commands with errors, events, new rows, bumps by entity."""
+    """What a batch of commands does: refused commands with errors, events, new rows, bumps by entity, entities afterwards."""
 
     refused: DataFrame
     events: DataFrame
     rows: DataFrame
     bumps: DataFrame | None = None
+    entities: DataFrame | None = None
 
 
 def _event(kind: Column, payload: Column, config: GraphConfig, at: Column, rng: str) -> list[Column]:
@@ -263,9 +265,14 @@ def symmetric_twins(edges: DataFrame, verbs: DataFrame, existing: DataFrame) ->
 
 
 def commit_add_edges(
-    commands: DataFrame, entities: DataFrame, edges: DataFrame, verbs: DataFrame, config: GraphConfig, next_seq: int, wall_ms: int = 0, rng: str = ""
+    commands: DataFrame, entities: DataFrame, edges: DataFrame, verbs: DataFrame, config: GraphConfig, next_seq: int, wall_ms: int = 0, rng: str = "", seed: int = 0
 ) -> Commit:
-    """Edges and the twins of symmetric verbs, each with its own log position, and bumps of their ends."""
+    """Edges and the twins of symmetric verbs, each with its own log position, and bumps of their ends.
+
+    Where `entities` are whole rows (ENTITY), they come back as the edges leave them:
+    embeddings moved and memories added to in log order by edges (twins teach nothing),
+    `embedding_ver` raised by the steps and `version` by the bumps.
+    """
     checked = check_add_edges(commands, entities, edges, verbs)
     bag = F.coalesce(F.col("properties"), F.create_map().cast("map<string,string>"))
     plain = checked.where(F.size("errors") == 0).select(
@@ -279,23 +286,36 @@ def commit_add_edges(
     fields = [c for c in rows.columns if c != "log_seq"]
     payload = F.to_json(F.struct(*fields, F.when(F.col("_twin") == 1, F.array("derived_from")).alias("derived_from")))
     kind = F.when(F.col("_twin") == 1, "edge:infer").otherwise("edge:add")
-    return Commit(checked.where(F.size("errors") > 0), placed.select(*_event(kind, payload, config, F.lit(wall_ms), rng)), rows, bumps_of(rows))
+    after = None
+    if {"embedding", "embedding_ver", "memory_bundle", "version"} <= set(entities.columns):
+        after = bump_versions(learn(placed.where("_twin = 0").withColumn("log_seq", F.col("seq")), entities, config.embedding_dim, config.hdc_dim, seed), bumps_of(rows))
+    return Commit(checked.where(F.size("errors") > 0), placed.select(*_event(kind, payload, config, F.lit(wall_ms), rng)), rows, bumps_of(rows), after)
 
 
 def commit_update_edges(commands: DataFrame, edges: DataFrame, config: GraphConfig, next_seq: int, wall_ms: int = 0, rng: str = "") -> Commit:
-    """commands (ord, id, weight, confidence, properties, expires_at): null leaves a field; the last command of a field counts.
+    """commands (ord, id, weight, confidence, properties, expires_at, cleared): null leaves a field; the last command of a field counts.
 
-    rows: the edges as they are afterwards; log_seq and embeddings stay.
+    `cleared`, which may be absent, names fields that are set to null; it holds for
+    expires_at, the only field that may be.  rows: the edges as they are afterwards;
+    log_seq and embeddings stay.
     """
+    if "cleared" not in commands.columns:
+        commands = commands.withColumn("cleared", F.lit(None).cast("array<string>"))
     checked = check_update_edges(commands, edges)
     valid = numbered(checked.where(F.size("errors") == 0).drop("errors"), [F.col("ord")], "seq", next_seq)
+    wiped = F.coalesce(F.array_contains("cleared", "expires_at"), F.lit(False)) & F.col("expires_at").isNull()
     delta = F.struct(clamp(F.col("weight")).alias("weight"), clamp(F.col("confidence")).alias("confidence"), "properties", "expires_at")
-    events = valid.select(*_event(F.lit("edge:update"), F.to_json(F.struct("id", delta.alias("delta"))), config, F.lit(wall_ms), rng))
+    plain = F.to_json(F.struct("id", delta.alias("delta")))
+    # to_json leaves nulls out, and this one is meant
+    with_null = F.regexp_replace(F.regexp_replace(plain, r'\}\}$', ',"expires_at":null}}'), r'\{,"expires_at":null', '{"expires_at":null')
+    events = valid.select(*_event(F.lit("edge:update"), F.when(wiped, with_null).otherwise(plain), config, F.lit(wall_ms), rng))
     fields = ("weight", "confidence", "properties", "expires_at")
+    said = {f: F.col(f).isNotNull() | (wiped if f == "expires_at" else F.lit(False)) for f in fields}
     newest = valid.groupBy("id").agg(
-        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f"_{f}") for f in fields], F.count(F.lit(1)).alias("_n")
+        *[F.max_by(F.struct(F.col(f).alias("v")), F.when(said[f], F.col("seq"))).alias(f"_{f}") for f in fields], F.count(F.lit(1)).alias("_n")
     )
-    value = {f: F.coalesce(clamp(F.col(f"_{f}")) if f in ("weight", "confidence") else F.col(f"_{f}"), F.col(f)).alias(f) for f in fields}
+    new = lambda f: clamp(F.col(f"_{f}.v")) if f in ("weight", "confidence") else F.col(f"_{f}.v")
+    value = {f: F.when(F.col(f"_{f}").isNotNull(), new(f)).otherwise(F.col(f)).alias(f) for f in fields}
     joined = edges.join(newest, "id", "left")
     bumps = joined.where("_n is not null").select(F.explode(F.array("source_id", "target_id")).alias("id"), "_n").groupBy("id").agg(F.sum("_n").alias("bumps"))
     return Commit(checked.where(F.size("errors") > 0), events, joined.select(*[value.get(c, F.col(c)) for c in edges.columns]), bumps)

@@ -102,3 +102,25 @@ def remember_set(facts: DataFrame, start: str = "ones", scale: int = SCALE) -> D
     dims = late.select("id", F.col("_at").isNull().alias("_ones"), F.posexplode("experience").alias("i", "x"))
     signs = dims.groupBy("id", "i").agg(F.when(F.max("_ones"), F.lit(1)).otherwise(F.max("x")).cast("tinyint").alias("x"))
     return signs.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("bundle"))
+
+
+def learn(edges: DataFrame, entities: DataFrame, dim: int, hdc_dim: int | None, seed: int) -> DataFrame:
+    """`entities` after `edges` (log_seq, source_id, target_id, verb_type, weight) were added, in log order.
+
+    Embeddings make a step for each edge, exactly; the source's memory, a bundle of
+    signs, takes in what the edge leaves.  Entities without a memory get none.
+    """
+    own = edges.select("log_seq", "source_id", "target_id", "verb_type", "weight")
+    moved = train_embeddings(own, entities, seed, dim).select(F.col("id").alias("_id"), F.col("embedding").alias("_embedding"), "steps")
+    after = entities.join(moved, F.col("id") == F.col("_id"), "left")
+    value = {"embedding": F.coalesce("_embedding", "embedding"), "embedding_ver": F.col("embedding_ver") + F.coalesce("steps", F.lit(0))}
+    if hdc_dim:
+        held = entities.where("memory_bundle is not null")
+        # the memory so far is as good as one that replaces all before
+        start = held.join(own.select(F.col("source_id").alias("id")).distinct(), "id", "left_semi")
+        facts = experiences(own, seed, hdc_dim).join(held.select("id"), "id", "left_semi")
+        first = start.select("id", F.lit(-1).cast("long").alias("ord"), F.lit(1.0).alias("weight"), F.col("memory_bundle").alias("experience"))
+        memory = remember_set(first.unionByName(facts.select(*first.columns))).select(F.col("id").alias("_of"), "bundle")
+        after = after.join(memory, F.col("id") == F.col("_of"), "left")
+        value["memory_bundle"] = F.coalesce(F.col("bundle").cast("array<tinyint>"), F.col("memory_bundle"))
+    return after.select(*[value[c].alias(c) if c in value else entities[c] for c in entities.columns])

@@ -270,6 +270,20 @@ def entity_remove_check(spark, d):
     return checked.select("id", "incoming", "outgoing", F.array_join("errors", ",").alias("errors"))
 
 
+def _adding(spark, t):
+    """Commands that add clicks and views, the entities at their ends, no edges yet, and the verbs; views go both ways."""
+    none = lambda kind: F.lit(None).cast(kind)
+    commands = t.where("op IN ('click', 'view')").select(
+        F.col("seq").alias("ord"), "id", "source_id", "target_id", F.col("op").alias("verb_type"), "weight", none("string").alias("t_norm"), none("string").alias("authority"),
+        none("double").alias("confidence"), none("string").alias("asserted_by"), none("map<string,string>").alias("properties"), none("bigint").alias("expires_at"),
+    )
+    zero, one = F.array_repeat(F.lit(0.0), 4).cast("array<float>"), F.array_repeat(F.lit(1), 8).cast("array<tinyint>")
+    entities = t.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct().select(
+        "id", zero.alias("embedding"), F.lit(0).cast("long").alias("embedding_ver"), one.alias("memory_bundle"), F.lit(0).cast("long").alias("version")
+    )
+    return commands, entities, commands.limit(0).select("id"), spark.createDataFrame([("click", False), ("view", True)], _VERBS)
+
+
 _VERBS = "id string, symmetric boolean"
 
 
@@ -288,17 +302,98 @@ def symmetric_twins(spark, d):
 )
 def commit_edges(spark, d):
     t = A.touches(spark, d)
-    none = lambda kind: F.lit(None).cast(kind)
-    commands = t.where("op IN ('click', 'view')").select(
-        F.col("seq").alias("ord"), "id", "source_id", "target_id", F.col("op").alias("verb_type"), "weight", none("string").alias("t_norm"), none("string").alias("authority"),
-        none("double").alias("confidence"), none("string").alias("asserted_by"), none("map<string,string>").alias("properties"), none("bigint").alias("expires_at"),
-    )
-    entities = t.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    verbs = spark.createDataFrame([("click", False), ("view", True)], _VERBS)
-    done = graph.commit_add_edges(commands, entities, commands.limit(0).select("id"), verbs, graph.GraphConfig("events"), 100)
+    commands, entities, none, verbs = _adding(spark, t)
+    done = graph.commit_add_edges(commands, entities.select("id"), none, verbs, graph.GraphConfig("events"), 100)
     return done.rows.join(done.events.select(F.col("seq").alias("log_seq"), "type"), "log_seq").select("id", "source_id", "target_id", "weight", "authority", "confidence", "log_seq", "type")
 
 
+@query(
+    f"""WITH {TOUCHES}, f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS nth FROM touches WHERE op IN ('click', 'view')), v AS (SELECT * FROM f WHERE nth = 1),
+    p AS (SELECT unnest([source_id, target_id]) AS id, 1 AS steps, CASE op WHEN 'view' THEN 2 ELSE 1 END AS bumps FROM v),
+    e AS (SELECT DISTINCT unnest([source_id, target_id]) AS id FROM touches)
+    SELECT e.id, coalesce(sum(steps), 0)::BIGINT AS embedding_ver, coalesce(sum(bumps), 0)::BIGINT AS version, CASE WHEN count(steps) > 0 THEN 1 ELSE 0 END AS moved FROM e LEFT JOIN p ON e.id = p.id GROUP BY e.id"""
+)
+def commit_learning(spark, d):
+    """What added edges do to the entities at their ends."""
+    t = A.touches(spark, d)
+    done = graph.commit_add_edges(*_adding(spark, t), graph.GraphConfig("events", embedding_dim=4, hdc_dim=8), 100)
+    moved = F.exists("embedding", lambda x: x != 0).cast("int").alias("moved")
+    return done.entities.select("id", "embedding_ver", "version", moved)
+
+
+@query(
+    f"""SELECT id, type, row_number() OVER (ORDER BY seq) + 99 AS log_seq, 4 AS dim, 8 AS bundle FROM (
+      SELECT event_id AS seq, id, 'user' AS type, value, id IN (SELECT 'u' || c_custkey FROM customer) AS known, row_number() OVER (PARTITION BY id ORDER BY event_id) > 1 AS again FROM (
+        SELECT *, CASE WHEN event_type = 'error' THEN ' ' ELSE 'u' || (user_id + CAST(props->>'k' AS INTEGER) * 1000) END AS id FROM events))
+    WHERE trim(id) <> '' AND NOT known AND NOT again AND value <= 50"""
+)
+def commit_create(spark, d):
+    e = table(spark, d, "events")
+    made = F.concat(F.lit("u"), F.col("user_id") + F.get_json_object("props", "$.k").cast("int") * 1000)
+    commands = e.select(
+        F.col("event_id").alias("ord"), F.when(F.col("event_type") == "error", " ").otherwise(made).alias("id"), F.when(F.col("value") > 50, " ").otherwise(F.lit("user")).alias("type"),
+        F.lit(None).cast("map<string,string>").alias("properties"),
+    )
+    known = table(spark, d, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("id"))
+    done = graph.commit_create_entities(commands, known, graph.GraphConfig("g", embedding_dim=4, hdc_dim=8), 100)
+    return done.rows.select("id", "type", "log_seq", F.size("embedding").alias("dim"), F.size("memory_bundle").alias("bundle"))
+
+
+@query(
+    f"""WITH {TRADE}, u AS (SELECT DISTINCT unnest([source_id, target_id]) AS id FROM trade WHERE weight > 0.6)
+    SELECT 'n' || n_nationkey AS id, row_number() OVER (ORDER BY n_nationkey) + 99 AS log_seq, 'entity:remove' AS type FROM nation WHERE 'n' || n_nationkey NOT IN (SELECT id FROM u)"""
+)
+def commit_remove(spark, d):
+    keys = spark.range(30).select(F.col("id").alias("ord"), F.concat(F.lit("n"), "id").alias("id"))
+    done = graph.commit_remove_entities(keys, _nations(spark, d), A.trade(spark, d).where("weight > 0.6"), graph.GraphConfig("g"), 100)
+    return done.events.select(F.get_json_object("payload", "$.id").alias("id"), F.col("seq").alias("log_seq"), "type")
+
+
+@query(
+    f"""WITH {_STATE}, c AS (SELECT seq, id, weight * 2 - 0.2 AS w, seq % 3 AS how FROM touches WHERE op = 'purchase'),
+    v AS (SELECT c.* FROM c JOIN edges USING (id) WHERE verb_type = 'clicked' AND w BETWEEN 0 AND 1),
+    n AS (SELECT id, arg_max({sql_clamp("w")}, seq) AS w, max(seq) FILTER (how < 2) AS said FROM v GROUP BY id)
+    SELECT e.id, coalesce(n.w, e.weight) AS weight, CASE WHEN said IS NULL THEN 5 WHEN said % 3 = 0 THEN said ELSE -1 END::BIGINT AS expires_at FROM edges e LEFT JOIN n ON e.id = n.id"""
+)
+def commit_update(spark, d):
+    """Weights change; expiries are set, set to null, or left."""
+    edges = _user_edges(spark, d).withColumn("authority", F.when(F.col("verb_type") == "viewed", "inference").otherwise(F.col("authority"))).withColumn("expires_at", F.lit(5).cast("long"))
+    how, none = F.col("seq") % 3, lambda kind: F.lit(None).cast(kind)
+    commands = A.touches(spark, d).where("op = 'purchase'").select(
+        F.col("seq").alias("ord"), "id", (F.col("weight") * 2 - 0.2).alias("weight"), none("double").alias("confidence"), none("map<string,string>").alias("properties"),
+        F.when(how == 0, F.col("seq")).alias("expires_at"), F.when(how == 1, F.array(F.lit("expires_at"))).alias("cleared"),
+    )
+    return graph.commit_update_edges(commands, edges, graph.GraphConfig("events"), 10**9).rows.select("id", "weight", F.coalesce("expires_at", F.lit(-1)).alias("expires_at"))
+
+
+@query(
+    f"""WITH {_STATE}, c AS (SELECT seq, id, weight * 2 - 0.2 AS w, seq % 3 AS how FROM touches WHERE op = 'purchase'),
+    v AS (SELECT c.* FROM c JOIN edges USING (id) WHERE verb_type = 'clicked' AND w BETWEEN 0 AND 1),
+    n AS (SELECT id, arg_max({sql_clamp("w")}, seq) AS w, max(seq) FILTER (how < 2) AS said FROM v GROUP BY id)
+    SELECT e.id, coalesce(n.w, e.weight) AS weight, CASE WHEN said % 3 = 0 THEN said ELSE -1 END::BIGINT AS expires_at FROM edges e LEFT JOIN n ON e.id = n.id"""
+)
+def commit_update_replayed(spark, d):
+    """The same updates, read back from the events they wrote; nothing expires at first."""
+    log = A.event_log(spark, d)
+    edges = temporal.edges_at(log)
+    inferred = edges.withColumn("authority", F.when(F.col("verb_type") == "viewed", "inference").otherwise(F.col("authority")))
+    how, none = F.col("seq") % 3, lambda kind: F.lit(None).cast(kind)
+    commands = A.touches(spark, d).where("op = 'purchase'").select(
+        F.col("seq").alias("ord"), "id", (F.col("weight") * 2 - 0.2).alias("weight"), none("double").alias("confidence"), none("map<string,string>").alias("properties"),
+        F.when(how == 0, F.col("seq")).alias("expires_at"), F.when(how == 1, F.array(F.lit("expires_at"))).alias("cleared"),
+    )
+    done = graph.commit_update_edges(commands, inferred, graph.GraphConfig("events"), 10**9)
+    return temporal.edges_at(log.unionByName(done.events)).select("id", "weight", F.coalesce("expires_at", F.lit(-1)).alias("expires_at"))
+
+
+@query(f"WITH {_STATE} SELECT id, log_seq FROM edges WHERE log_seq % 3 > 0")
+def commit_remove_edges(spark, d):
+    edges = _user_edges(spark, d)
+    some = edges.where("log_seq % 3 = 0").select(F.col("log_seq").alias("ord"), "id")
+    missing = spark.range(3).select((F.col("id") + 10**8).alias("ord"), F.concat(F.lit("none"), "id").alias("id"))
+    return graph.commit_remove_edges(some.union(missing), edges, graph.GraphConfig("events"), 10**9).rows.select("id", "log_seq")
+
+
 @query(f"WITH {TOUCHES} SELECT id, count(*)::BIGINT AS version FROM (SELECT unnest([source_id, target_id]) AS id FROM touches WHERE op <> 'signup') GROUP BY id")
 def entity_versions(spark, d):
     ever = A.touches(spark, d).select("id", "source_id", "target_id").distinct()
@@ -624,6 +719,20 @@ def ann_cdc_latest(spark, d):
     return nearest.apply_updates(index, updates).select("id", F.col("embedding")[0].cast("double").alias("x"), "ordinal")
 
 
+@query(
+    f"""WITH h AS (SELECT vec_id AS query_id, embedding AS head FROM embeddings WHERE vec_id % 100 = 0), rel AS (SELECT embedding AS relation FROM embeddings WHERE vec_id = 7),
+    s AS (SELECT query_id, e.vec_id AS id, {sql_r6(f'1 / (1 + sqrt({_SUM(f"list_transform({_DIM}, lambda i: power((head[i]::DOUBLE + relation[i]::DOUBLE) - e.embedding[i]::DOUBLE, 2))")}))')} AS score FROM h, rel, embeddings e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+    SELECT query_id, id, score FROM r WHERE rank <= 3"""
+)
+def index_query(spark, d):
+    """The closest candidates to head + relation."""
+    v = A.vectors(spark, d)
+    relation = graph.get(v, 7).first()["embedding"]
+    heads = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("head"), F.lit(relation).cast("array<float>").alias("relation"))
+    return nearest.query_index(heads, v, 3).select("query_id", "id", num.r6(F.col("score")).alias("score"))
+
+
 @query(f"WITH {SIGNS} SELECT a.id, {sql_r6(f'({_SUM(f"list_transform({_DIM}, lambda i: (a.v[i] * b.v[i] * c.v[i])::DOUBLE)")} / 64 + 1) / 2')} AS likeness FROM signs a JOIN signs b ON b.id = a.id + 1 JOIN signs c ON c.id = a.id + 2")
 def hdc_bind_recall(spark, d):
     s = A.signs(spark, d)
@@ -807,6 +916,16 @@ def pending_left(spark, d):
     return federation.process_tick(_queue(spark, d), 400)[1]
 
 
+@query(f"WITH {_QUEUE} SELECT ord, deliver_at FROM q WHERE deliver_at > 400")
+def pending_restored(spark, d):
+    """What a tick left, saved and restored."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    federation.save_queue(federation.process_tick(_queue(spark, d), 400)[1], path)
+    return federation.restore_queue(spark, path)
+
+
 # -- projections, hot zone, ticks ---------------------------------------------------------------------
 
 
@@ -895,9 +1014,15 @@ def tick_convert(spark, d):
 # -- the same on streams -----------------------------------------------------------------------------
 
 
-def _as_stream(spark, rows: DataFrame, folder: str) -> DataFrame:
-    rows.write.mode("overwrite").parquet(folder)
-    return spark.readStream.schema(rows.schema).parquet(folder)
+def _as_stream(spark, parts: list[DataFrame], folder: str) -> DataFrame:
+    """A stream of the parts, each a file and so a micro-batch of its own, in their order."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _thirds(rows: DataFrame, key: str) -> list[DataFrame]:
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(3)) == k) for k in range(3)]
 
 
 @query(f"WITH {_QUEUE} SELECT 'g' || (ord % 4) AS target_graph, ord, deliver_at, 400::BIGINT AS delivered_at FROM q WHERE deliver_at <= 400")
@@ -918,7 +1043,7 @@ def stream_delivery(spark, d):
         F.concat(F.lit("g"), "id").alias("target_graph"), F.lit(2**62).alias("ord"), F.lit("tick").alias("kind"), none("string").alias("payload"), none("bigint").alias("deliver_at"),
         none("double").alias("fidelity"), F.lit(400).cast("long").alias("tick"),
     )
-    source = _as_stream(spark, writes.union(ticks), f"{folder}/in")
+    source = _as_stream(spark, [*_thirds(writes, "ord"), ticks], f"{folder}/in")
     out = delivery.deliver(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     out.trigger(availableNow=True).start().awaitTermination()
     done = spark.read.schema(delivery.OUTPUT).parquet(f"{folder}/out")
@@ -934,7 +1059,8 @@ def stream_dirty_keys(spark, d):
 
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     held = Versions(spark, f"{folder}/dirty", "graph_id string, entity_id string, component string")
-    track_dirty(_as_stream(spark, _changes(spark, d), f"{folder}/in"), _registry(spark, d).manifest(spark), held, f"{folder}/state").awaitTermination()
+    changes = _changes(spark, d)
+    track_dirty(_as_stream(spark, _thirds(changes, changes.columns[0]), f"{folder}/in"), _registry(spark, d).manifest(spark), held, f"{folder}/state").awaitTermination()
     return held.read()
 
 
@@ -978,6 +1104,27 @@ def rule_fixpoint(spark, d):
     return traverse.fixpoint(bought.union(sold), _INFER)
 
 
+_ECHO = [
+    ontology.Rule("echo", "echoOf", (ontology.Condition("buysFrom"),), policy_id="fade"),
+    ontology.Rule("relay", "relayOf", (ontology.Condition("echoOf"),), policy_id="fade"),
+    ontology.Rule("answer", "echoOf", (ontology.Condition("relayOf"),), policy_id="fade"),
+    ontology.Rule("end", "answerOf", (ontology.Condition("relayOf"),), policy_id="fade"),
+]
+
+
+@query(
+    f"""WITH {TRADE}, b AS (SELECT source_id, target_id, weight FROM trade WHERE weight > 0.1),
+    e AS (SELECT source_id, target_id, {sql_clamp("weight * 1.0 * power(0.5::DOUBLE, 1)")} AS weight FROM b), r AS (SELECT source_id, target_id, {sql_clamp("weight * 1.0 * power(0.5::DOUBLE, 2)")} AS weight FROM e WHERE weight > 0.001),
+    a AS (SELECT source_id, target_id, {sql_clamp("weight * 1.0 * power(0.5::DOUBLE, 3)")} AS weight FROM r WHERE weight > 0.001)
+    SELECT source_id, target_id, 'buysFrom' AS verb_type, weight, 'player' AS authority FROM b UNION ALL SELECT source_id, target_id, 'echoOf', weight, 'inference' FROM e WHERE weight > 0.001
+    UNION ALL SELECT source_id, target_id, 'relayOf', weight, 'inference' FROM r WHERE weight > 0.001 UNION ALL SELECT source_id, target_id, 'answerOf', weight, 'inference' FROM a WHERE weight > 0.001"""
+)
+def rule_recursion(spark, d):
+    """Rules that feed each other in a circle; facts fade by their distance from what was given."""
+    bought = saved(A.trade(spark, d).where("weight > 0.1").select("source_id", "target_id", "verb_type", "weight"))
+    return traverse.fixpoint(bought, _ECHO, {"fade": policy.geometric(0.5)})
+
+
 # -- aggregates and encodings --------------------------------------------------------------------------------
 
 
@@ -1000,6 +1147,27 @@ def codec_round_trip(spark, d):
     return v.select("id", F.posexplode("v").alias("i", "x")).select("id", (F.col("i") + 1).alias("i"), F.col("x").cast("double").alias("x"))
 
 
+@query("SELECT vec_id AS id, i, CASE WHEN embedding[i] >= 0 THEN 1 ELSE -1 END AS x FROM embeddings, (SELECT unnest(range(1, 65))::INTEGER AS i)")
+def sign_codec_round_trip(spark, d):
+    v = A.signs(spark, d).select("id", codec.decode_signs(codec.encode_signs(F.col("v"))).alias("v"))
+    return v.select("id", F.posexplode("v").alias("i", "x")).select("id", (F.col("i") + 1).alias("i"), F.col("x").cast("int").alias("x"))
+
+
+@query("SELECT n_nationkey, to_base64(unhex(list_aggregate(list_transform(unnest_n, lambda x: CASE WHEN x THEN '01' ELSE 'FF' END), 'string_agg', ''))) AS code FROM (SELECT n_nationkey, [n_nationkey % 2 = 0, n_nationkey % 3 = 0, n_nationkey % 5 = 0] AS unnest_n FROM nation)")
+def sign_codes(spark, d):
+    """The encoded text itself."""
+    sign = lambda k: F.when(F.col("n_nationkey") % k == 0, 1).otherwise(-1).cast("tinyint")
+    return table(spark, d, "nation").select("n_nationkey", codec.encode_signs(F.array(sign(2), sign(3), sign(5))).alias("code"))
+
+
+@query("SELECT r_regionkey, n_name AS k, n_nationkey AS v, count(*) OVER (PARTITION BY r_regionkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey")
+def map_round_trip(spark, d):
+    """Maps as entries and back, read key by key."""
+    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("m"))
+    back = n.select(F.col("n_regionkey").alias("r_regionkey"), codec.decode_map(codec.encode_map(F.col("m"))).alias("m"))
+    return back.select("r_regionkey", F.size("m").cast("long").alias("n"), F.explode("m").alias("k", "v"))
+
+
 @query("SELECT n_nationkey, sha256('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}') AS checksum FROM nation")
 def row_checksums(spark, d):
     return table(spark, d, "nation").select("n_nationkey", codec.checksum(F.col("n_nationkey"), F.col("n_name")).alias("checksum"))

@@ -222,3 +222,87 @@ def test_paths_and_rules(spark):
     with pytest.raises(ValueError):
         traverse.fixpoint(facts, [Rule("1", "p", (Condition("v"), Condition("q", True))), Rule("2", "q", (Condition("p"),))])
     assert traverse.route("cached", None, edges) is edges
+
+
+def test_added_edges_teach(spark):
+    """Embeddings, memories and versions after a batch of edges, against the same one by one."""
+    names = ["a", "b", "c", "d", "x"]
+    made = spark.createDataFrame([(k, n, "npc", None) for k, n in enumerate(names)], "ord long, id string, type string, properties map<string,string>")
+    entities = graph.commit_create_entities(made, spark.createDataFrame([], graph.ENTITY), CONFIG, 0).rows
+    rng = random.Random(3)
+    rows = [(k, f"e{k}", *rng.sample(names[:4], 2), rng.choice(["likes", "near"]), round(rng.random(), 3)) for k in range(25)]
+    commands = spark.createDataFrame(
+        [(*r, None, None, None, None, None, None) for r in rows],
+        "ord long, id string, source_id string, target_id string, verb_type string, weight double, t_norm string, authority string, confidence double, asserted_by string, properties map<string,string>, expires_at bigint",
+    )
+    verbs = spark.createDataFrame([("likes", False), ("near", True)], "id string, symmetric boolean")
+    done = graph.commit_add_edges(commands, entities, spark.createDataFrame([], graph.EDGE), verbs, CONFIG, 5, seed=7)
+    got = {r["id"]: r for r in done.entities.collect()}
+    state = {n: [np.zeros(4, np.float32), 0, np.ones(8, int), 0] for n in names}
+    tokens = sorted({t for r in rows for t in r[2:5]})
+    frame = spark.createDataFrame([(t,) for t in tokens], "t string")
+    base = {r["t"]: np.array(r["v"], int) for r in frame.select("t", hdc.base_vector(F.col("t"), 7, 8).alias("v")).collect()}
+    relation = dict(zip(tokens, hdc.relation_floats(tokens, 7, 4)))
+    r6 = lambda x: np.floor(x * 1e6 + 0.5) / 1e6
+    for _, _, source, target, verb, weight in rows:
+        head, tail = state[source], state[target]
+        delta = r6(weight * learning.LEARNING_RATE * (head[0].astype(float) + relation[verb] - tail[0]))
+        tail[0] = r6(np.clip(r6(tail[0] + delta), -1, 1)).astype(np.float32)
+        head[0] = r6(np.clip(r6(head[0] - delta * 0.5), -1, 1)).astype(np.float32)
+        times = max(1, int(weight * hdc.SCALE))
+        head[2] = np.where(head[2] + times * base[source] * base[verb] * base[target] >= 0, 1, -1)
+        for one in (head, tail):
+            one[1] += 1
+            one[3] += 2 if verb == "near" else 1
+    for n in names:
+        assert np.allclose(got[n]["embedding"], state[n][0], atol=2e-6), n
+        assert got[n]["embedding_ver"] == state[n][1] and got[n]["version"] == state[n][3]
+        assert list(got[n]["memory_bundle"]) == state[n][2].tolist()
+
+
+def test_null_and_absent_differ_in_updates(spark):
+    """A cleared expiry is null in the rows and in the event, a field not named stays."""
+    edge = {"id": "e", "source_id": "a", "target_id": "b", "verb_type": "v", "weight": 0.5, "authority": "player", "confidence": 1.0, "expires_at": 9}
+    events = log(spark, [event(0, "edge:add", **edge), event(1, "edge:add", **(edge | {"id": "f"}))])
+    edges = temporal.edges_at(events)
+    schema = "ord long, id string, weight double, confidence double, properties map<string,string>, expires_at bigint, cleared array<string>"
+    done = graph.commit_update_edges(spark.createDataFrame([(0, "e", None, None, None, None, ["expires_at"]), (1, "f", 0.25, None, None, None, None)], schema), edges, CONFIG, 2)
+    want = {"e": (0.5, None), "f": (0.25, 9)}
+    assert {r["id"]: (r["weight"], r["expires_at"]) for r in done.rows.collect()} == want
+    deltas = {json.loads(r["payload"])["id"]: json.loads(r["payload"])["delta"] for r in done.events.collect()}
+    assert deltas == {"e": {"expires_at": None}, "f": {"weight": 0.25}}
+    assert {r["id"]: (r["weight"], r["expires_at"]) for r in temporal.edges_at(events.unionByName(done.events)).collect()} == want
+    both = graph.commit_update_edges(spark.createDataFrame([(0, "e", 0.75, None, None, None, ["expires_at"])], schema), edges, CONFIG, 2)
+    assert json.loads(both.events.first()["payload"])["delta"] == {"weight": 0.75, "expires_at": None}
+
+
+def test_rules_that_do_not_finish_raise(spark):
+    edges = spark.createDataFrame([("a", "b", "v0", 1.0)], "source_id string, target_id string, verb_type string, weight double")
+    rules = [Rule(f"r{k}", f"v{k + 1}", (Condition(f"v{k}"),)) for k in range(5)]
+    assert traverse.fixpoint(edges, rules).count() == 6
+    with pytest.raises(RuntimeError):
+        traverse.fixpoint(edges, rules, max_rounds=2)
+
+
+def test_paths_over_circles(spark):
+    """The strongest simple path of each pair, against all simple paths."""
+    rng = random.Random(5)
+    nodes = [f"n{k}" for k in range(7)]
+    links = {(a, b): round(rng.uniform(0.3, 1), 3) for a in nodes for b in nodes if a != b and rng.random() < 0.5} | {("n0", "n0"): 1.0}
+    best = {}
+
+    def walk(path, weight):
+        if len(path) > 1:
+            key, value = (path[0], path[-1]), (weight, -(len(path) - 1))
+            best[key] = max(best.get(key, (0, 0)), value)
+        if len(path) <= 4:
+            for (a, b), w in links.items():
+                if a == path[-1] and b not in path:
+                    folded = w if len(path) == 1 else min(weight, w)
+                    walk([*path, b], folded)
+
+    for n in nodes:
+        walk([n], 1.0)
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "source_id string, target_id string, weight double")
+    got = traverse.paths(edges, spark.createDataFrame([(n,) for n in nodes], "id string"), 4, "minimum").collect()
+    assert {(r["source_id"], r["target_id"]): (r["weight"], -r["hops"]) for r in got} == best
