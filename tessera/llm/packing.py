@@ -11,6 +11,7 @@ within their length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -46,13 +47,28 @@ SOLID = re.compile(f"[^{SPACE}]+")
 PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+#: What the vocabulary file says of such a vocabulary's normal form and split.
+NORMAL = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def is_plain(path: str) -> bool:
+    """Is the file a vocabulary of the kind whose pieces between blanks are independent?"""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = [s.get("pattern", {}).get("Regex") for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if s.get("type") == "Split"]
+    return normal == NORMAL and split == [SPLIT]
+
+
 class Encoder(dict):
     """Ids of whole texts as bytes, by the library; as a table, ids of pieces between blanks.
 
     The vocabulary drops white space and no token crosses it, so pieces are independent.
     A new piece of Latin-1 letters is lower-cased and cut here and its pre-tokens go to
     the library's model; for these characters normal form and lower case are plain.
-    All other new pieces go through the whole of the library.
+    All other new pieces go through the whole of the library, and so do all texts if the
+    file describes another kind of vocabulary.
     """
 
     def __init__(self, path: str):
@@ -61,6 +77,7 @@ class Encoder(dict):
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
+        self.plain = is_plain(path)
         self.parts: dict[str, bytes] = {}
         self.letters = {b: c for b, c in enumerate(byte_letters()) if chr(b) != c}
 
@@ -80,6 +97,8 @@ class Encoder(dict):
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Unsigned 32-bit ids of each text, little-endian as the machine's."""
+        if not self.plain:
+            return [array("I", self.library.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts]
         for known in (self, self.parts):
             if len(known) > KEPT:
                 known.clear()

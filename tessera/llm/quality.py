@@ -8,12 +8,13 @@ and rules left out (`ablations`) by aggregating the bits.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare
@@ -142,10 +143,40 @@ def ablations(entries: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
-    """The ledger of `docs` with `base_failed` and `kept`."""
+def write_ledger(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The ledger written as Parquet and read again: policies and ablations read it, never texts.
+
+    The folder names the rules, so a ledger of other rules isn't taken for one of these.
+    """
+    folder = f"{path}/{ledger_version()}"
+    ledger(docs, keys, text).write.mode("overwrite").parquet(folder)
+    return read_ledger(docs.sparkSession, path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A ledger written with the rules as they are; raises if there is none."""
+    return spark.read.parquet(f"{path}/{ledger_version()}")
+
+
+def ledger_version() -> str:
+    """A name for the rules: it changes with any of them."""
+    return "rules-" + hashlib.sha256(repr((list(RULES.items()), MEASURES, WINDOW)).encode()).hexdigest()[:12]
+
+
+def verdicts(entries: DataFrame, policy: str = PRODUCTION) -> DataFrame:
+    """A ledger with `base_failed` and `kept`, by bits alone."""
     base = ~passes("base")
-    return ledger(docs).select("*", base.alias("base_failed"), (~base & passes(policy)).alias("kept"))
+    asked = [c for c in entries.columns if c not in MEASURES and c != "failed"]
+    return entries.select(*asked, *MEASURES[:5], base.alias("base_failed"), (~base & passes(policy)).alias("kept"), *MEASURES[5:], "failed")
+
+
+def judged(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
+    """`verdicts` on the ledger of `docs`; a null text fails for want of words, ties with a limit pass, rows may repeat.
+
+    Texts may have any length and an empty table gives no rows; other columns are not
+    read, whatever their names.
+    """
+    return verdicts(ledger(docs), policy)
 
 
 ORACLE = r"""
@@ -173,3 +204,8 @@ b AS (
   FROM m)
 SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM b
 """
+ABLATIONS = f"""
+WITH l AS ({ORACLE}), r AS (SELECT unnest({list(RULES)}) AS rule, unnest({[1 << k for k in range(len(RULES))]}) AS bit)
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_failed_alone, count(*) FILTER (failed & ~bit = 0) AS n_kept_without
+FROM l, r GROUP BY rule
+"""

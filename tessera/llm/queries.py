@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import cotraining, langid, licences, lines, mixing, packing, quality, simhash, tokens, topk
-from .common import spread
+from .common import shared_folder, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy does, from a stored ledger."""
+    entries = quality.write_ledger(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    return quality.ablations(entries)
+
+
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -58,6 +65,7 @@ def op10_mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_nb": op1_language_nb,
     "op2_quality_ledger": op2_quality_ledger,
+    "quality_ablations": quality_ablations,
     "op3_simhash_trie": op3_simhash_trie,
     "op4_licence_digests": op4_licence_digests,
     "op5_token_counts": op5_token_counts,
@@ -70,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_ledger": quality.ORACLE,
+    "quality_ablations": quality.ABLATIONS,
     "op4_licence_digests": licences.ORACLE,
     "op7_topk_pivots": topk.ORACLE,
 }

@@ -49,6 +49,9 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError(f"{path} describes no byte-level vocabulary with the usual split, so merging its pairs would miscount")
         vocab = spec["model"]["vocab"]
         self.of_byte = np.array([vocab[c] for c in byte_letters()], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]

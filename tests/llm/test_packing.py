@@ -111,3 +111,18 @@ def test_pieces_and_places(docs, rows, empty):
         assert at <= 4096
     assert len(sequences) == -(-sum(w[3] for w in want) // 4096)
     assert packing.packed(empty, path).count() == 0
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    """A file with another split or normal form is not taken for the usual kind."""
+    import json
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.is_plain(path)
+    spec = json.load(open(path, encoding="utf-8"))
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]  # case kept
+    other = f"{tmp_path}/other.json"
+    json.dump(spec, open(other, "w", encoding="utf-8"))
+    own = packing.Encoder(other)
+    text = "Some TEXT, it's Ünïcode 123"
+    assert not own.plain and own.ids([text, None])[0] == np.array(Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import quality
@@ -61,3 +62,21 @@ def test_clean_text_is_kept(spark):
     row = quality.judged(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row["kept"] and not row["base_failed"] and row["failed"] == 0
     assert quality.judged(spark.createDataFrame([(1, None)], "doc_id long, text string")).select(F.col("n_words")).first()[0] == 0
+
+
+def test_stored_ledger(spark, docs, tmp_path, monkeypatch):
+    """Policies read the stored ledger; one of other rules is not found; ablations equal the twin's."""
+    entries = quality.write_ledger(docs, str(tmp_path))
+    for policy in quality.POLICIES:
+        same = lambda df: sorted(map(str, df.collect()))
+        assert same(quality.verdicts(entries, policy)) == same(quality.judged(docs, policy))
+    assert quality.judged(docs).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    con = duckdb.connect()
+    con.register("documents", unique.select("doc_id", "text").toPandas())
+    want = sorted(con.execute(quality.ABLATIONS).fetchall())
+    got = quality.ablations(quality.ledger(unique)).select("rule", "n_failed", "n_failed_alone", "n_kept_without").collect()
+    assert sorted(map(tuple, got)) == want
+    monkeypatch.setitem(quality.RULES, "few_words", "n_words < 11")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        quality.read_ledger(spark, str(tmp_path))
