@@ -84,7 +84,8 @@ def test_pool(spark):
     with pytest.raises(RuntimeError):
         p.submit(print)
     assert p.queue_depth >= 0
-    assert sorted(r.id for r in pool.run_on_rows(spark.range(3), "math", "floor", "id long").limit(0).collect()) == []
+    counted = pool.run_on_rows(spark.range(5).repartition(2), "pandas", "DataFrame", "id long")
+    assert sorted(r.id for r in counted.collect()) == [0, 1, 2, 3, 4]
 
 
 def stream(spark, path, batches, schema):
