@@ -305,13 +305,16 @@ def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     """Model for quality from `features` and `labels` (doc_id, quality); None without both kinds of label.
 
     A document with several labels counts as good if half of them or more are; labels
-    without an id or a verdict count for nothing.  Of labelled rows the `labelled` of
-    least hash are used, however often an id repeats.
+    without an id or a verdict count for nothing.  Of labelled rows, those equal in id
+    and text being one, the `labelled` of least hash are used, however often an id repeats.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     known = small(saved(known), BROADCAST_KEYS)
     own = rows.join(known, rows.doc_id == F.col("_id")).select("hash", "y", *FEATURES)
-    gathered = own.orderBy("hash", "y", *FEATURES).limit(labelled).collect()
+    # first which, by hashes alone, so that tasks send no features that aren't used
+    last = own.select("hash").distinct().orderBy("hash").limit(labelled).agg(F.max("hash")).first()[0]
+    gathered = [] if last is None else own.where(F.col("hash") <= last).dropDuplicates(["hash"]).collect()
+    gathered.sort(key=lambda r: r["hash"])
     y = np.array([r["y"] for r in gathered], np.float64)
     if len(set(y.tolist())) < 2:
         return None
