@@ -49,6 +49,16 @@ def closeness(a: Column, b: Column) -> Column:
     return 1 / (1 + distance(a, b))
 
 
+def closeness6(a: Column, b: Column) -> Column:
+    """`closeness` at six decimals, so that what differs beyond them ties."""
+    return r6(closeness(a, b))
+
+
+def moved(head: Column, relation: Column) -> Column:
+    """head + relation, in doubles."""
+    return F.zip_with(doubles(head), doubles(relation), lambda x, y: x + y)
+
+
 def query_vector(head: Column, relation: Column) -> Column:
     """head + relation, as floats."""
     return F.zip_with(doubles(head), doubles(relation), lambda x, y: (x + y).cast("float"))
@@ -56,17 +66,16 @@ def query_vector(head: Column, relation: Column) -> Column:
 
 def score(head: Column, relation: Column, tail: Column) -> Column:
     """1 / (1 + |head + relation - tail|), in doubles; vectors of other sizes raise."""
-    moved = F.zip_with(doubles(head), doubles(relation), lambda x, y: x + y)
-    return _checked(1 / (1 + distance(moved, tail)), head, relation, tail)
+    return _checked(closeness(moved(head, relation), tail), head, relation, tail)
 
 
 def transe_step(head: Column, relation: Column, tail: Column, weight, rate: float = LEARNING_RATE) -> Column:
     """Struct (head, relation, tail) of floats after one step that pulls head + relation to tail."""
     scale = col(weight).cast("double") * rate
-    gap = F.zip_with(F.zip_with(doubles(head), doubles(relation), lambda x, y: x + y), doubles(tail), lambda x, y: x - y)
+    gap = F.zip_with(moved(head, relation), doubles(tail), lambda x, y: x - y)
     delta = F.transform(gap, lambda e: r6(scale * e))
 
-    def moved(v: Column, share: float) -> Column:
+    def pulled(v: Column, share: float) -> Column:
         return F.zip_with(doubles(v), delta, lambda x, d: clamp(r6(x + d * share), -1.0, 1.0)).cast("array<float>")
 
-    return F.struct(moved(head, -0.5).alias("head"), moved(relation, -0.5).alias("relation"), moved(tail, 1.0).alias("tail"))
+    return F.struct(pulled(head, -0.5).alias("head"), pulled(relation, -0.5).alias("relation"), pulled(tail, 1.0).alias("tail"))

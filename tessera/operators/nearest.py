@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import closeness, query_vector, score
+from ..functions.vector import closeness, moved, score
 
 #: Query vectors up to this many bytes are broadcast; larger sets go in slices of it.
 BROADCAST_BYTES = 8 << 20
 
 
-def nearest(candidates: DataFrame, query: list[float], k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """(id, score): the k closest to one vector, ties to the smaller id."""
-    scored = candidates.select(F.col(id_col).alias("id"), closeness(F.lit(query).cast("array<double>"), F.col(vector)).alias("score"))
+def nearest(candidates: DataFrame, query: list[float], k: int, id_col: str = "id", vector: str = "embedding", close=closeness) -> DataFrame:
+    """(id, score): the k closest to one vector by `close`, ties to the smaller id."""
+    scored = candidates.select(F.col(id_col).alias("id"), close(F.lit(query).cast("array<double>"), F.col(vector)).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def nearest_each(queries: DataFrame, candidates: DataFrame, k: int, ordinal: str = "id") -> DataFrame:
+def nearest_each(queries: DataFrame, candidates: DataFrame, k: int, ordinal: str = "id", close=closeness) -> DataFrame:
     """(query_id, id, rank, score) for queries (query_id, query) against candidates (id, embedding).
 
+    `close` scores a query and a candidate; of equal scores, as it rounds them, the least `ordinal` comes first.
+
     Queries are dealt to slices of bounded size; a slice is broadcast and meets all
     candidates in place, and only the k best of each query leave a partition's sort.
     """
@@ -31,15 +33,15 @@ def nearest_each(queries: DataFrame, candidates: DataFrame, k: int, ordinal: str
     for s in range(slices):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s) if slices > 1 else queries
         pairs = candidates.select("id", "embedding", *({ordinal} - {"id"})).join(F.broadcast(part.select("query_id", "query")), F.lit(True))
-        best = pairs.withColumn("score", closeness(F.col("query"), F.col("embedding")))
+        best = pairs.withColumn("score", close(F.col("query"), F.col("embedding")))
         best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
         found = best if found is None else found.union(best)
     return found
 
 
-def query_index(heads: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """heads (query_id, head, relation): the k candidates closest to head + relation, as `nearest_each`."""
-    return nearest_each(heads.select("query_id", query_vector(F.col("head"), F.col("relation")).alias("query")), candidates, k)
+def query_index(heads: DataFrame, candidates: DataFrame, k: int, close=closeness) -> DataFrame:
+    """heads (query_id, head, relation): the k candidates closest to head + relation (in doubles, as `score`), as `nearest_each`."""
+    return nearest_each(heads.select("query_id", moved(F.col("head"), F.col("relation")).alias("query")), candidates, k, close=close)
 
 
 def score_triples(triples: DataFrame) -> DataFrame:
