@@ -138,16 +138,20 @@ _SIGN = r"(?:copyright[ \t]*(?:\(c\)|©)?|\(c\)[ \t]*(?:copyright)?|©[ \t]*(?:c
 _YEARS = r"(?:(?:19|20)[0-9][0-9]|\[yyyy\]|\[year\]|<year>)(?:[ \t]*[-–,][ \t]*(?:(?:19|20)[0-9][0-9]|present))*"
 _TOKEN = r"(?:(?:inc|ltd|co|corp|llc|jr|sr|al|[a-z])\.,?|[^ \t\r\n.]+(?:\.[^ \t\r\n.]+)*)"
 _HOLDER = rf"(?:(?:by[ \t]+)?{_TOKEN}(?:[ \t]+{_TOKEN}){{0,9}})?"
-NOTICE = rf"^[^\p{{L}}\p{{N}}\n(©]*{_SIGN}[ \t:]*{_YEARS}[ \t,.:;]*{_HOLDER}[ \t]*\.?[ \t]*(?:all rights reserved\.?)?[^\p{{L}}\p{{N}}\n]*$"
+_START = rf"[^\p{{L}}\p{{N}}\n(©]*{_SIGN}"
+NOTICE = rf"^{_START}[ \t:]*{_YEARS}[ \t,.:;]*{_HOLDER}[ \t]*\.?[ \t]*(?:all rights reserved\.?)?[^\p{{L}}\p{{N}}\n]*$"
 TERMS = r"\b(?:may|must|not|no|shall|will|can|cannot|prohibited|forbidden|permission|permitted|licensed|licence|license|without|only|pay|fee|proprietary|confidential|use|copy|copied)\b"
 
+# the same in a text, without lines of these words; few lines begin like a notice, and only these are searched for words
+NOTICES = rf"(?md)^(?={_START})(?!.*{TERMS}){NOTICE}"
+
 
 def canonical_lines(text: Column) -> Column:
     """Array of canonical lines that are neither blank nor a copyright notice; null for null.
 
     Notices go while punctuation still tells them from sentences that begin alike.
     """
-    plain = F.regexp_replace(F.lower(text), f"(?md)(?!^.*{TERMS}){NOTICE}", "")
+    plain = F.regexp_replace(F.lower(text), NOTICES, "")
     plain = F.regexp_replace(plain, r"[^\p{L}\p{N}\n]+", " ")
     for a, b in SPELLINGS:
         plain = F.replace(plain, F.lit(a), F.lit(b))
@@ -195,11 +199,13 @@ def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
         known = F.broadcast(known)
     # a row's units come from one task, so the number binds them whatever task computes them again
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical_lines(F.col("text")).alias("lines"))
-    whole = F.array(F.struct(F.lit(True).alias("entire"), digest_of(F.col("lines")).alias("unit")))
+    # named before the units come out: beside them it would be made of the whole text for each of its lines
+    rows = rows.withColumn("digest", digest_of(F.col("lines")))
+    whole = F.array(F.struct(F.lit(True).alias("entire"), F.col("digest").alias("unit")))
     each = F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit(False).alias("entire"), F.md5(x).alias("unit")))
     # the entire text is a unit of each row; without lines it matches nothing
     units = F.when(F.size("lines") > 0, F.concat(whole, each)).otherwise(F.array(F.struct(F.lit(True).alias("entire"), F.lit("").alias("unit"))))
-    found = rows.select("row", "doc_id", digest_of(F.col("lines")).alias("digest"), F.inline(units)).join(known, F.col("unit") == known.known, "left")
+    found = rows.select("row", "doc_id", "digest", F.inline(units)).join(known, F.col("unit") == known.known, "left")
     return (
         found.groupBy("row", "doc_id", "digest")
         .agg(

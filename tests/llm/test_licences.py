@@ -62,3 +62,10 @@ def test_each_known_text_in_the_usual_layouts(spark, tmp_path):
     con = duckdb.connect()
     con.register("documents", df.where("doc_id < 9000").toPandas())
     assert {k: v for k, v in con.execute(f"SELECT doc_id, license_id FROM ({licences.ORACLE}) WHERE license_id IS NOT NULL").fetchall()} == {k: v for k, v in want.items() if k < 9000}
+
+
+def test_digest_is_made_once_a_text(spark):
+    """The digest of the entire text is not made again for each of its lines."""
+    plan = licences.scan(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"), licences.known_licences(spark))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate inline")]
+    assert "array_join(lines" not in above
