@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,63 @@ def test_delivery_stream(spark, tmp_path):
     assert got == [("a", 10, 0.9), ("b", 10, 0.9), ("b2", 10, 0.9), ("late", 30, 0.9)]
 
 
+def test_delivery_in_chunks():
+    """Many writes of one graph take few steps on the state, and come in the order of due tick, then arrival."""
+    held, steps = {}, []
+
+    class Entries:
+        def keys(self):
+            return list(held)
+
+        def containsKey(self, key):  # noqa: N802
+            return key in held
+
+        def getValue(self, key):  # noqa: N802
+            steps.append(key)
+            return held[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            steps.append(key)
+            held[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            del held[key]
+
+    class Number:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        getMapState = lambda self, *a: Entries()  # noqa: E731, N815
+        getValueState = lambda self, *a: Number()  # noqa: E731, N815
+
+    work = delivery.Delivery()
+    work.init(Handle())
+    names = [f.split(" ")[0] for f in delivery.INPUT.split(", ")]
+    rows = [("g", o, "write", str(o), o * 7 % 90, 1.0, None) for o in range(20_000)]
+    ticks = [("g", 10_000 - 1, "tick", None, None, None, 30), ("g", 30_000, "tick", None, None, None, 60), ("g", 30_001, "tick", None, None, None, 200)]
+    got = []
+    for batch in (rows[:10_000:2], rows[1:10_000:2] + ticks[:1], rows[10_000:][::-1] + ticks[1:]):
+        frames = [pd.DataFrame(batch[k : k + 3000], columns=names) for k in range(0, len(batch), 3000)]
+        got += [tuple(r) for f in work.handleInputRows(("g",), iter(frames), None) for r in f[["payload", "deliver_at", "delivered_at"]].itertuples(index=False)]
+    want, rest = [], []
+    arrived = [*rows[:10_000:2], *rows[1:10_000:2]]
+    for tick, more in ((30, arrived), (60, rows[10_000:]), (200, [])):
+        rest += more
+        want += [(w[3], w[4], tick) for w in sorted(rest, key=lambda w: w[4]) if w[4] <= tick]
+        rest = [w for w in rest if w[4] > tick]
+    assert got == want and len(got) == 20_000 and not held
+    assert len(steps) < 100
+
+
 def test_state_streams(spark, tmp_path):
     r = projection.ComponentRegistry()
     r.register(projection.Component("Score", ("ally",), 0, lambda keys: keys.selectExpr("graph_id", "entity_id", "1.0 AS value")))
