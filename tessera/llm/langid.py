@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import lean, prepare
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -119,7 +119,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, alpha: float = 0.5)
         return Model([], np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.int64))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample_rows / sizes[lang]))])
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    counted = drawn.select("lang", "text").mapInArrow(_count, "lang string, bucket long, n long")
+    counted = drawn.select("lang", "text").mapInArrow(lean(_count), "lang string, bucket long, n long")
     counts = np.zeros((len(langs), BUCKETS))
     place = {lang: k for k, lang in enumerate(langs)}
     for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -146,7 +146,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             )
 
     fields = "".join(f"`{c}` {t}, " for c, t in df.dtypes if c != text)
-    return df.mapInArrow(batches, f"{fields}lang_pred string, score double")
+    return df.mapInArrow(lean(batches), f"{fields}lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -166,7 +166,7 @@ def accepted(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS
             stays = (np.array(langs, object) != UNKNOWN) & (scores >= least)
             yield batch.filter(pa.array(stays.astype(bool)))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(lean(batches), docs.schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, ranked, saved
+from .common import lean, prepare, ranked, saved
 from .tokens import byte_letters
 
 CAPACITY = 4096
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(batches), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -363,7 +363,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = [c for c in cut.columns if c != "length"]
     placed = ranked(cut, ["length"], order, "_rank")
     fields = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes)
-    return placed.mapInArrow(batches, f"{fields}, sequence_id long, offset long")
+    return placed.mapInArrow(lean(batches), f"{fields}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

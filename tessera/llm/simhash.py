@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, copies_of, prepare, row_key, saved, small, stored
+from .common import connected_components, copies_of, lean, prepare, row_key, saved, small, stored
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BUDGET = 3
@@ -74,7 +74,7 @@ def with_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` with `text` replaced by the long `fp`; `text` must be the last column."""
     prepare(df.sparkSession)
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != text)
-    return df.mapInArrow(_fingerprints, f"{fields}, fp long")
+    return df.mapInArrow(lean(_fingerprints), f"{fields}, fp long")
 
 
 def _pairs(lo_a, hi_a, lo_b, hi_b) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -249,7 +249,7 @@ def dealt(prints: DataFrame, more: list[str] | None = None, chunk: int = CHUNK)
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b) fingerprints: links that span the components of `prints` (distinct, column fp)."""
-    return dealt(prints).mapInArrow(_forests, "a long, b long")
+    return dealt(prints).mapInArrow(lean(_forests), "a long, b long")
 
 
 def components(rows: DataFrame, ids: list[str], more: list[str] | None = None, link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
@@ -421,12 +421,12 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     longs = COMPARED + -(-bits * blocks // 64)
     rows = docs.select(row_key(docs).alias("key"), "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    prints = stored(rows.mapInArrow(_long_fingerprints(longs), f"key struct<a:bigint,b:bigint>, doc_id {kind}, fp long, compared binary, blocks binary"))
+    prints = stored(rows.mapInArrow(lean(_long_fingerprints(longs)), f"key struct<a:bigint,b:bigint>, doc_id {kind}, fp long, compared binary, blocks binary"))
 
     def link(own: DataFrame) -> DataFrame:
-        cells = own.mapInArrow(_block_rows(bits, blocks), "cell long, fp long, compared binary")
+        cells = own.mapInArrow(lean(_block_rows(bits, blocks)), "cell long, fp long, compared binary")
         dealt = split_cells(cells, "cell", "fp", CHUNK, CELL).select("cell", "part", "fp", "compared")
-        return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_long_forests(*budgets(similarity)), "a long, b long")
+        return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(lean(_long_forests(*budgets(similarity))), "a long, b long")
 
     of = components(prints.withColumn("_no", F.col("doc_id").isNull()), ["_no", "doc_id", "key"], ["compared", "blocks"], link)
     counted = prints.groupBy("key").agg(F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows"))
