@@ -133,6 +133,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 [batch.column(0).take(pa.array(of, pa.int64())), pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        encoder.cache_clear()  # the worker outlives its task, and what it has learnt takes memory from those that run
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()

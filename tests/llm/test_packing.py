@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -126,3 +127,14 @@ def test_other_vocabularies_go_through_the_library(tmp_path):
     own = packing.Encoder(other)
     text = "Some TEXT, it's Ünïcode 123"
     assert not own.plain and own.ids([text, None])[0] == np.array(Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_worker_keeps_no_tokenizer(spark, docs):
+    """Workers outlive their tasks; the tables of a tokenizer don't."""
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([packing.encoder.cache_info().currsize])], names=["n"])
+
+    assert packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).count()
+    assert spark.range(64, numPartitions=32).mapInArrow(kept, "n long").agg({"n": "sum"}).first()[0] == 0
